@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["metrics"]
+AREAS = ["metrics", "linkage"]
 
 
 def load_catalog():

@@ -193,7 +193,7 @@ COMPLETION_GAP = 21_600
 EVENT_ALBUMS = """
 ev AS (SELECT user_id AS album_id, event_type AS track, ts FROM events),
 gaps AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY album_id ORDER BY ts)
-                             > 21600 * 1000000 THEN 1 ELSE 0 END AS b FROM ev),
+                             > 21600000000 THEN 1 ELSE 0 END AS b FROM ev),
 sess AS (SELECT album_id, track, sum(b) OVER (PARTITION BY album_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid
          FROM gaps),
 sessions AS (SELECT album_id, CAST(sid AS BIGINT) AS session_no, count(DISTINCT track) AS distinct_tracks

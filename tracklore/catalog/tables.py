@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.session import pin_utc
+from tracklore.session import prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    pin_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklore.functions.text import matching_form
 
@@ -110,7 +111,8 @@ def metaphone_text(text: str) -> str:
 
 
 def article_variant(left: str, right: str) -> bool:
-    return left == "the " + right or right == "the " + left
+    short, long = sorted((left, right), key=len)
+    return long == "the " + short and not short.startswith("the ")
 
 
 def fuzzy_similarity(left: str, right: str, left_code: str | None = None, right_code: str | None = None) -> float:
@@ -152,23 +154,23 @@ def best_substring_errors(pattern: str, text: str) -> int:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _indel_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else indel_similarity(a, b) for a, b in zip(left, right)],
                      dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fuzzy_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([fuzzy_similarity(a or "", b or "") for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _metaphone_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda value: None if value is None else metaphone_text(value))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _substring_errors_udf(pattern: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([best_substring_errors(p, t) for p, t in zip(pattern, text)], dtype="int32")
 

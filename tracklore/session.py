@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,15 @@ def build_session(app: str = "tracklore", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def pin_utc(spark: SparkSession) -> None:
-    """Date parts are defined on UTC, whoever built the session."""
+def prepare(spark: SparkSession) -> None:
+    """Make a session built elsewhere usable: date parts on UTC, this package importable on the executors."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if not getattr(context, "_tracklore_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="tracklore-"), "tracklore")
+        context.addPyFile(shutil.make_archive(target, "zip", root, "tracklore"))
+        context._tracklore_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["metrics", "linkage"]
+AREAS = ["metrics", "linkage", "names"]
 
 
 def load_catalog():

@@ -156,3 +156,60 @@ artist_genres AS (SELECT c_custkey AS artist_id, c_mktsegment AS genre, 0.9::DOU
                   UNION ALL
                   SELECT p_partkey, p_type, 0.5::DOUBLE FROM part
                   WHERE p_partkey IN (SELECT c_custkey FROM customer))"""
+
+
+# --- raw plays with messy names, from two sources ------------------------------------------
+# Names come from parts; the row key picks one of several ways in which real exports spell the same name.
+
+ARTIST_VARIANTS = """CASE {key} % 8 WHEN 0 THEN {name} WHEN 1 THEN upper({name}) WHEN 2 THEN concat('the ', {name})
+    WHEN 3 THEN concat({name}, ' & ', {other}) WHEN 4 THEN concat('  ', replace({name}, ' ', '   '), ' ')
+    WHEN 5 THEN replace({name}, 'e', 'é') WHEN 6 THEN replace({name}, 'l', 'll')
+    ELSE concat({name}, ' Featuring ', {other}) END"""
+ALBUM_VARIANTS = """CASE {key} % 5 WHEN 0 THEN {name} WHEN 1 THEN concat({name}, ' (Deluxe Edition)')
+    WHEN 2 THEN concat({name}, ' [UK Import]') WHEN 3 THEN NULL ELSE concat({name}, ' - Single') END"""
+TRACK_VARIANTS = """CASE {key} % 7 WHEN 0 THEN {name} WHEN 1 THEN concat({name}, ' (feat. ', {other}, ')')
+    WHEN 2 THEN concat({name}, ' (Radio Edit)') WHEN 3 THEN concat({name}, ' (Live at Venue)')
+    WHEN 4 THEN concat({name}, ' - 2011 Remastered') WHEN 5 THEN upper({name})
+    ELSE concat({name}, ' (with ', {other}, ' x ', {name}, ') [Bonus]') END"""
+
+
+def _names(key: str) -> str:
+    artist = ARTIST_VARIANTS.format(key=key, name="p_name", other="p_type")
+    album = ALBUM_VARIANTS.format(key=key, name="concat(p_type, ' ', p_brand)")
+    track = TRACK_VARIANTS.format(key=key, name="concat(lower(p_type), ' song')", other="p_brand")
+    return (
+        f"CASE WHEN {key} % 97 <> 0 THEN {artist} END AS artist_name, {album} AS album_name, "
+        f"CASE WHEN {key} % 89 <> 0 THEN {track} END AS track_name"
+    )
+
+
+HISTORY_SQL = f"""SELECT 'spotify' AS source, o_orderkey AS record_id, o_orderdate AS ts, {_names("o_orderkey")},
+    CAST(round(o_totalprice) AS BIGINT) AS duration_ms, o_orderstatus AS country
+    FROM orders JOIN part ON p_partkey = o_custkey"""
+SCROBBLES_SQL = f"""SELECT 'lastfm' AS source, event_id AS record_id, ts, {_names("event_id")},
+    CAST(floor(value) AS BIGINT) * 1000 AS duration_ms, CAST(NULL AS VARCHAR(1)) AS country
+    FROM events JOIN part ON p_partkey = user_id"""
+RAW_PLAYS = f"""
+history AS ({HISTORY_SQL}),
+scrobbles AS ({SCROBBLES_SQL}),
+raw AS (SELECT * FROM history UNION ALL SELECT * FROM scrobbles)"""
+
+
+def _from_sql(spark: SparkSession, folder: str, sql: str, names: list[str]) -> DataFrame:
+    return spark.sql(
+        sql.replace("VARCHAR(1)", "STRING").replace("FROM orders", "FROM {orders}")
+        .replace("FROM events", "FROM {events}").replace("JOIN part", "JOIN {part}"),
+        **{name: table(spark, folder, name) for name in names},
+    )
+
+
+def raw_history(spark: SparkSession, folder: str) -> DataFrame:
+    return _from_sql(spark, folder, HISTORY_SQL, ["orders", "part"])
+
+
+def raw_scrobbles(spark: SparkSession, folder: str) -> DataFrame:
+    return _from_sql(spark, folder, SCROBBLES_SQL, ["events", "part"])
+
+
+def raw_plays(spark: SparkSession, folder: str) -> DataFrame:
+    return raw_history(spark, folder).unionByName(raw_scrobbles(spark, folder))

@@ -110,10 +110,9 @@ def _(spark, d):
     return raw.select("source", "record_id", text.canonical_track("track_name").alias("title"))
 
 
-@query("slug", f"SELECT doc_id, {sx.slug('text')} AS slug FROM documents WHERE lang <> 'de'")
+@query("slug", f"SELECT doc_id, {sx.slug('text')} AS slug FROM documents")
 def _(spark, d):
-    documents = t.table(spark, d, "documents").where("lang <> 'de'")
-    return documents.select("doc_id", text.slug("text").alias("slug"))
+    return t.table(spark, d, "documents").select("doc_id", text.slug("text").alias("slug"))
 
 
 # --- similarity --------------------------------------------------------------------------

@@ -78,7 +78,7 @@ def featured_stages(source: str, title: str, prefix: str) -> tuple[list[str], st
 
 
 def slug(x: str) -> str:
-    plain = f"regexp_replace(lower(strip_accents({x})), '([0-9]),([0-9])', '\\1\\2', 'g')"
+    plain = f"regexp_replace(replace(lower(strip_accents({x})), 'ß', 'ss'), '([0-9]),([0-9])', '\\1\\2', 'g')"
     return f"trim(regexp_replace({plain}, '[^a-z0-9]+', '-', 'g'), '-')"
 
 

@@ -245,11 +245,13 @@ def resolve_artists(
         F.lit(1).cast("bigint").alias("scope"),
         F.array("raw_name", F.lpad(F.col("position").cast("string"), 9, "0")).alias("ord"),
     )
-    reps = representatives(mentions)
-    election = cut_lineage(elect(reps, threshold, block_limit))
-    aliases = _aliases(mentions, reps, election)
+    # Cleaning a name costs dozens of regular expressions; it is done once and stored.
+    mentions = cut_lineage(mentions)
+    reps = cut_lineage(representatives(mentions))
+    election = elect(reps, threshold, block_limit)
+    aliases = cut_lineage(_aliases(mentions, reps, election))
     artist_id = F.xxhash64(F.lit("artist"), "leader")
-    artists = reps.join(election.where("slug = leader"), ["scope", "slug"], "left_semi").select(
+    artists = aliases.where("method = 'new_canonical'").select(
         F.xxhash64(F.lit("artist"), "slug").alias("artist_id"), "name", "slug"
     )
     return artists, aliases.select(
@@ -278,37 +280,33 @@ def resolve_albums(
     title = canonical_album("album_name", None if manual is None else manual[0])
     named = names.select("artist_name", "album_name", title.alias("name"))
     mentions = _titles(named, artist_aliases, ["artist_name", "album_name"]).withColumn("slug", entity_slug("name"))
-    reps = representatives(mentions)
+    mentions = cut_lineage(mentions)
+    reps = cut_lineage(representatives(mentions))
     ownerless = reps.where("scope is null")
     # An artist's album whose slug was already read without an artist is that album.
     shared = ownerless.select("slug", F.col("ord").alias("_seen"))
     owned = reps.where("scope is not null").join(shared, "slug", "left")
     taken = owned.where(F.col("_seen") < F.col("ord")).select("scope", "slug")
     free = owned.where("_seen is null or not (_seen < ord)").drop("_seen")
-    election = cut_lineage(elect(free, threshold, block_limit).unionByName(elect(ownerless, None)))
+    election = elect(free, threshold, block_limit).unionByName(elect(ownerless, None))
     aliases = _aliases(mentions.join(taken, ["scope", "slug"], "left_anti"), reps, election)
     columns = ["artist_name", "album_name", "slug", "scope", "leader", "confidence", "method"]
     borrowed = mentions.join(taken, ["scope", "slug"], "left_semi").select(
-        "artist_name", "album_name", "slug", "scope", F.col("slug").alias("leader"),
+        "name", "artist_name", "album_name", "slug", "scope", F.col("slug").alias("leader"),
         F.lit(1.0).alias("confidence"), F.lit("exact_match").alias("method"), F.lit(None).cast("bigint").alias("_owner"),
     )
-    every = aliases.select(*columns, F.col("scope").alias("_owner")).unionByName(borrowed)
-    albums = _canonical(reps, election, "album")
-    return albums, every.select(
-        "artist_name", "album_name", "slug", F.col("scope").alias("artist_id"),
+    every = aliases.select("name", *columns, F.col("scope").alias("_owner")).unionByName(borrowed)
+    resolved = cut_lineage(every.select(
+        "artist_name", "album_name", "name", "slug", F.col("scope").alias("artist_id"),
         F.xxhash64(F.lit("album"), "_owner", "leader").alias("album_id"), "confidence", "method",
-    )
+    ))
+    return _canonical(resolved, ["album_id"]), resolved.drop("name")
 
 
-def _canonical(reps: DataFrame, election: DataFrame, kind: str) -> DataFrame:
-    leaders = election.where("slug = leader").select(F.col("scope").alias("_scope"), F.col("slug").alias("_slug"))
-    kept = reps.join(leaders, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("slug") == F.col("_slug")), "left_semi")
-    return kept.select(
-        F.xxhash64(F.lit(kind), "scope", "slug").alias(f"{kind}_id"),
-        F.col("name").alias("title"),
-        "slug",
-        F.col("scope").alias("artist_id"),
-        "ord",
+def _canonical(aliases: DataFrame, columns: list[str]) -> DataFrame:
+    """The alias that created a canonical title is its row in the dimension."""
+    return aliases.where("method = 'new_canonical'").select(
+        *columns, F.col("name").alias("title"), "slug", "artist_id"
     )
 
 
@@ -322,22 +320,20 @@ def resolve_tracks(
     named = names.select("artist_name", "album_name", "track_name", title.alias("name"))
     order = ["artist_name", "album_name", "track_name"]
     mentions = _titles(named, artist_aliases, order).withColumn("slug", entity_slug("name"))
-    reps = representatives(mentions)
+    mentions = cut_lineage(mentions)
+    reps = cut_lineage(representatives(mentions))
     with_artist = elect(reps.where("scope is not null"), threshold, block_limit)
-    election = cut_lineage(with_artist.unionByName(elect(reps.where("scope is null"), None)))
+    election = with_artist.unionByName(elect(reps.where("scope is null"), None))
     aliases = _aliases(mentions, reps, election)
     albums = album_aliases.groupBy("album_name", F.col("artist_id").alias("scope")).agg(
         F.min_by("album_id", "artist_name").alias("album_id")
     )
     placed = salted_join(aliases, albums, ["album_name", "scope"], F.col("ord"), "left")
-    tracks = _canonical(reps, election, "track")
-    home = placed.where("method = 'new_canonical'").select(
-        F.xxhash64(F.lit("track"), "scope", "leader").alias("track_id"), "album_id"
-    )
-    return tracks.join(home, "track_id", "left"), placed.select(
-        "artist_name", "album_name", "track_name", "slug", F.col("scope").alias("artist_id"),
+    resolved = cut_lineage(placed.select(
+        "artist_name", "album_name", "track_name", "name", "slug", F.col("scope").alias("artist_id"),
         F.xxhash64(F.lit("track"), "scope", "leader").alias("track_id"), "album_id", "confidence", "method",
-    )
+    ))
+    return _canonical(resolved, ["track_id", "album_id"]), resolved.drop("name")
 
 
 # --- reports on resolution ---------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["metrics", "linkage", "names"]
+AREAS = ["metrics", "linkage", "names", "ingest"]
 
 
 def load_catalog():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,19 +38,26 @@ def prepare(spark: SparkSession) -> None:
         context._tracklore_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives executor loss.
-
-    Only a local master may fall back to a folder of its own: on a cluster a machine-local
-    path would be unreadable from the other executors.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can read: the one the cluster names, or a temporary one on a local master."""
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        # On a cluster a machine-local path would be unreadable from the other executors.
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="tracklore-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = os.path.join(tempfile.mkdtemp(prefix="tracklore-"), "checkpoints")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for tables a job writes and reads back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["metrics", "linkage", "names", "ingest"]
+AREAS = ["metrics", "linkage", "names", "ingest", "enrich"]
 
 
 def load_catalog():

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["metrics", "linkage", "names", "ingest", "enrich", "reports", "streams"]
+AREAS = ["metrics", "linkage", "names", "ingest", "enrich", "reports", "streams", "search"]
 
 
 def load_catalog():

@@ -453,18 +453,34 @@ def _(spark, d):
     return r.year_rollup_story(_timeline(spark, d))
 
 
-@query(
-    "busiest_year",
-    f"""{SUMMARY}, y AS (SELECT CAST(year_month[:4] AS INTEGER) AS year, CAST(sum(total_plays) AS BIGINT) AS plays
-      FROM monthly_summary GROUP BY 1)
-    SELECT (SELECT year_month FROM monthly_summary ORDER BY total_plays DESC, year_month LIMIT 1) AS peak_month,
-    (SELECT max(total_plays) FROM monthly_summary) AS peak_month_plays, (SELECT max(year) - min(year) FROM y) AS years_active,
-    (SELECT year FROM y ORDER BY plays DESC, year LIMIT 1) AS peak_year, (SELECT max(plays) FROM y) AS peak_year_plays""",
-)
+YEARS = f"""{SUMMARY}, y AS (SELECT CAST(year_month[:4] AS INTEGER) AS year, CAST(sum(total_plays) AS BIGINT) AS plays
+  FROM monthly_summary GROUP BY 1)"""
+MONTH_PEAK = """(SELECT year_month FROM monthly_summary ORDER BY total_plays DESC, year_month LIMIT 1) AS peak_month,
+    (SELECT max(total_plays) FROM monthly_summary) AS peak_month_plays"""
+YEAR_PEAK = "(SELECT year FROM y ORDER BY plays DESC, year LIMIT 1) AS peak_year, (SELECT max(plays) FROM y) AS peak_year_plays"
+ACTIVE = "(SELECT max(year) - min(year) FROM y) AS years_active"
+
+
+@query("busiest_year", f"{YEARS} SELECT {MONTH_PEAK}, {ACTIVE}, {YEAR_PEAK}")
 def _(spark, d):
     return r.busiest(_summary(spark, d))
 
 
+@query("peak_month", f"{YEARS} SELECT {MONTH_PEAK}")
+def _(spark, d):
+    return r.busiest(_summary(spark, d)).select("peak_month", "peak_month_plays")
+
+
+@query("peak_year", f"{YEARS} SELECT {YEAR_PEAK}")
+def _(spark, d):
+    return r.busiest(_summary(spark, d)).select("peak_year", "peak_year_plays")
+
+
+@query("years_active", f"{YEARS} SELECT {ACTIVE}")
+def _(spark, d):
+    return r.busiest(_summary(spark, d)).select("years_active")
+
+
 @query(
     "year_calendar_fill",
     f"""{SUMMARY} SELECT year, CAST(month AS INTEGER) AS month, format('{{:04d}}-{{:02d}}', year, month) AS year_month,

@@ -46,7 +46,7 @@ def untagged_artists(artists: DataFrame, artist_tags: DataFrame, limit: int | No
 # --- lookups -----------------------------------------------------------------------------
 
 
-def _grams(text: Column, size: int) -> Column:
+def grams(text: Column, size: int) -> Column:
     starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
     grams = F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
     return F.when(F.length(text) >= size, grams).otherwise(F.array().cast("array<string>"))
@@ -62,11 +62,11 @@ def contains_pairs(queries: DataFrame, corpus: DataFrame, scope: list[str] | Non
     needle = F.col("needle")
     sizes = range(1, GRAM + 1)
     pieces = corpus.select(
-        *corpus.columns, F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in sizes]))).alias("gram")
+        *corpus.columns, F.explode(F.array_distinct(F.concat(*[grams(F.col("text"), n) for n in sizes]))).alias("gram")
     )
     wanted = queries.where(needle != "").withColumn(
         "gram", F.explode(F.array_distinct(F.coalesce(*[
-            F.when(F.length(needle) >= n, _grams(needle, n)) for n in reversed(sizes)
+            F.when(F.length(needle) >= n, grams(needle, n)) for n in reversed(sizes)
         ])))
     )
     frequency = pieces.groupBy(*scope, "gram").agg(F.count("*").alias("_n"))

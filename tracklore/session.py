@@ -58,6 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table in the shared folder; survives the loss of executors.
+
+    A written table is computed once, where `checkpoint()` computes its input twice, and it carries no inferred
+    constraints along, which pile up over the rounds of an iterative job.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

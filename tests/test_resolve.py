@@ -49,10 +49,10 @@ def test_election_equals_plain_loop(spark, threshold, limit):
 
 
 def test_scopes_do_not_mix(spark):
-    rows = [(s, "abc", "abc", [str(s)]) for s in (1, 2)] + [(2, "abcc", "abcc", ["3"])]
+    rows = [(s, "abd", "abd", [str(s)]) for s in (1, 2)] + [(2, "abdd", "abdd", ["3"])]
     reps = spark.createDataFrame(rows, "scope bigint, slug string, name string, ord array<string>")
     got = {(x["scope"], x["slug"]): x["leader"] for x in r.elect(reps).collect()}
-    assert got == {(1, "abc"): "abc", (2, "abc"): "abc", (2, "abcc"): "abc"}
+    assert got == {(1, "abd"): "abd", (2, "abd"): "abd", (2, "abdd"): "abd"}
 
 
 def test_low_threshold_is_refused(spark):

@@ -59,7 +59,8 @@ def report_pairs(
     Time is cut into slots as wide as the widest distance, so partners sit in the same or the next slot, and the
     join is an equi-join on (artist, track, slot): a popular track is spread over its slots. `session_key` names
     the run of slots without a longer pause, which no pair crosses. With `titles` (track_id, title) the track
-    leaves the key, so different tracks of an artist can pair by title.
+    leaves the key, so different tracks of an artist can pair by title. A list of all pairs is what this reports;
+    its length is the number of reports that really lie that close.
     """
     widest = max(window_seconds, WIDEST_SECONDS) * SECOND
     scope = ["artist_id"] if titles is not None else ["artist_id", "track_id"]
@@ -67,6 +68,7 @@ def report_pairs(
     side = reports(plays).withColumn("slot", F.floor(F.col("us") / widest))
     if titles is not None:
         side = salted_join(side, titles.select("track_id", "title"), ["track_id"], F.col("report_id"), "left")
+    side = cut_lineage(side)  # read four times below; the plays behind it only once
     in_time = W.Window.partitionBy(*scope).orderBy("slot")
     sessions = (
         side.groupBy(*keys)
@@ -81,8 +83,12 @@ def report_pairs(
     )
     distance = F.col("b_us") - F.col("a_us")
     earlier = (distance > 0) | ((distance == 0) & (F.col("a_report_id") < F.col("b_report_id")))
-    near = earlier & (distance <= widest) & (F.col("a_source") != F.col("b_source"))
-    pairs = a.join(b, keys).where(near).join(sessions, keys).withColumn("diff_us", distance)
+    near = earlier & (distance <= widest)
+    # Name the partner's source in the key: a dense run of one source then meets other sources only, and the
+    # candidates stay within a small factor of the pairs.
+    partners = b.select(*keys, "b_source").distinct()
+    asking = a.join(partners, keys).where("a_source <> b_source")
+    pairs = asking.join(b, [*keys, "b_source"]).where(near).join(sessions, keys).withColumn("diff_us", distance)
     if titles is None:
         pairs = pairs.withColumn("a_track_id", F.col("track_id")).withColumn("b_track_id", F.col("track_id"))
     pairs = pairs.withColumns({"a_artist_id": F.col("artist_id"), "b_artist_id": F.col("artist_id")})
@@ -149,14 +155,17 @@ def _same_report(left: DataFrame, right: DataFrame, prefix: str) -> Column:
 def play_pairs(pairs: DataFrame, plays: DataFrame) -> DataFrame:
     """Report pairs spelled out as play pairs, ids in order. Only lists for people need this form."""
     rows = linkable(plays).select("play_id", *REPORT_KEYS)
-    result = pairs
+    result = cut_lineage(pairs)
+    copied = result.agg(*[F.max(F.col(f"{end}_copies") > 1).alias(end) for end in "ab"]).first()
     for end in "ab":
         # Reports with one copy are already plays; only the others look up their copies.
         single = result.where(F.col(f"{end}_copies") == 1).withColumn(f"{end}_id", F.col(f"{end}_report_id"))
-        several = result.where(F.col(f"{end}_copies") > 1)
-        members = rows.withColumnRenamed("play_id", f"{end}_id")
-        spelled = several.join(members, _same_report(members, several, end)).select(*several.columns, f"{end}_id")
-        result = single.unionByName(spelled)
+        if copied[end]:
+            several = result.where(F.col(f"{end}_copies") > 1)
+            members = rows.withColumnRenamed("play_id", f"{end}_id")
+            spelled = several.join(members, _same_report(members, several, end)).select(*several.columns, f"{end}_id")
+            single = single.unionByName(spelled)
+        result = single
     return result.withColumn("play_a_id", F.least("a_id", "b_id")).withColumn("play_b_id", F.greatest("a_id", "b_id"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import window as W
 
 from tracklore.functions.timeparts import day, effective_ms, hour, micros, week_label, weekday, year_month
 from tracklore.operators.skew import salted_join, top_per_key
+from tracklore.session import cut_lineage
 
 BINGE_DAYS = 30
 DEEP_CUT_TRACKS = 5
@@ -208,9 +209,32 @@ def discovery_half_life(daily: DataFrame) -> DataFrame:
 
 
 def artist_analytics(plays: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """All artist measures in one row. Every branch is keyed by artist_id, so the joins reuse its partitioning."""
-    monthly, daily, tracks = artist_monthly(plays), artist_daily(plays), artist_track_counts(plays)
-    result = artist_basic(plays, as_of)
+    """All artist measures in one row.
+
+    The fact is read twice, once per artist and day and once per artist and track. Both aggregates are stored, since
+    every branch wants other columns of them and Spark would otherwise read the fact again for each.
+    """
+    today = latest_day(plays) if as_of is None else as_of
+    known = clean(plays).where("artist_id is not null")
+    daily = cut_lineage(
+        known.groupBy("artist_id", day().alias("play_date")).agg(
+            F.count("*").alias("plays"), F.sum(effective_ms()).alias("duration_ms")
+        )
+    )
+    tracks = cut_lineage(artist_track_counts(plays))
+    monthly = daily.groupBy("artist_id", F.date_format("play_date", "yyyy-MM").alias("year_month")).agg(
+        _total("plays").alias("plays")
+    )
+    basic = daily.groupBy("artist_id").agg(
+        F.min("play_date").alias("first_play_date"),
+        F.max("play_date").alias("last_play_date"),
+        _total("plays").alias("total_plays"),
+        _total("duration_ms").alias("total_duration_ms"),
+    )
+    distinct_tracks = tracks.groupBy("artist_id").agg(F.count("*").alias("unique_tracks_played"))
+    result = basic.join(distinct_tracks, "artist_id", "left").withColumn(
+        "days_since_last_play", F.datediff(today, "last_play_date")
+    )
     for part in (
         peak_period(monthly),
         binge_score(daily),
@@ -219,7 +243,7 @@ def artist_analytics(plays: DataFrame, as_of: Column | None = None) -> DataFrame
         discovery_half_life(daily),
     ):
         result = result.join(part, "artist_id", "left")
-    return result.na.fill({"deep_cuts_ratio": 0.0})
+    return result.na.fill({"deep_cuts_ratio": 0.0, "unique_tracks_played": 0})
 
 
 def artist_trend(monthly: DataFrame) -> DataFrame:

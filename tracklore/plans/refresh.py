@@ -51,9 +51,11 @@ def resolve_and_link(raw: DataFrame, threshold: float | None = resolve.FUZZY_THR
 # --- incremental -------------------------------------------------------------------------
 
 
-def _write(df: DataFrame, path: str, *partitions: str) -> None:
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+def _write(df: DataFrame, path: str, partition: str) -> None:
+    """Replace the touched folders. Ranges over (folder, artist) give few files and split a heavy folder."""
+    ranges = [partition, "artist_id"] if "artist_id" in df.columns else [partition]
+    rows = df.repartitionByRange(*ranges)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def _bucket() -> Column:

@@ -10,9 +10,8 @@ import __spark_entry__ as entry
 from check_oracle import compare
 
 SAMPLE = [
-    "monthly_summary", "artist_analytics", "completion_rate", "discovery_context", "entity_rank", "dedupe_mark",
-    "resolve_tracks_by_slug", "link_plays", "ingest_report", "scan_json_history", "find_missing_albums",
-    "report_overview", "report_story", "stream_ingest", "stream_sessions", "incremental_refresh",
+    "monthly_summary", "discovery_context", "dedupe_mark", "ingest_report", "scan_json_history", "report_overview",
+    "stream_ingest", "link_plays",
 ]
 NAMES = list(entry.oracle_sql()) if os.environ.get("TRACKLORE_ALL_QUERIES") else SAMPLE
 

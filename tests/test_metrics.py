@@ -106,7 +106,7 @@ def test_properties_on_generated_tables(spark, sf):
 
 
 def test_global_rank_with_ties_and_wide_ids(spark):
-    rows = [(i * 700_000, i % 3) for i in range(50)]
+    rows = [((i * 7_000_000_000_000_003) % 2**62, i % 3) for i in range(300)]
     ranked = global_rank(spark.createDataFrame(rows, "id bigint, n bigint"), "n", "id").collect()
     expected = {row: k for k, row in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
     assert {(r["id"], r["n"]): r["rank"] for r in ranked} == expected

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tracklore.session import cut_lineage
+
 DEFAULT_SALTS = 8
 
 
@@ -25,27 +27,21 @@ def salted_join(
 def global_rank(df: DataFrame, measure: str, id_column: str, rank_column: str = "rank") -> DataFrame:
     """1-based position by (measure desc, id asc) without moving all rows to one task.
 
-    rank = rows with a larger measure + rows with an equal measure in lower id ranges + position within the id
-    range. Ids are unique, so an id range of fixed width bounds every window partition. The only single-task
-    window runs over distinct measures, at most sqrt(2 * sum(measure)) of them.
+    Rows are range-partitioned by (measure, id), so entities with equal measures spread out too. The partitioned
+    rows are stored, which fixes their ranges; rank = rows in earlier ranges + position within the range. The one
+    unpartitioned window runs over as many rows as there are ranges.
     """
-    ids_per_range = 1 << 20
-    ranged = df.withColumn("_range", F.floor(F.col(id_column) / F.lit(ids_per_range)))
-    counts = ranged.groupBy(measure, "_range").agg(F.count("*").alias("_n"))
-    within = W.Window.partitionBy(measure).orderBy("_range")
-    counts = counts.withColumn("_lower", F.sum("_n").over(within) - F.col("_n"))
-    levels = counts.groupBy(F.col(measure).alias("_level")).agg(F.sum("_n").alias("_total"))
-    down = W.Window.orderBy(F.desc("_level"))
-    levels = levels.select("_level", (F.sum("_total").over(down) - F.col("_total")).alias("_above"))
-    offsets = counts.join(levels, counts[measure] == levels["_level"]).select(
-        measure, "_range", (F.col("_above") + F.col("_lower")).alias("_offset")
-    )
-    inside = W.Window.partitionBy(measure, "_range").orderBy(id_column)
+    order = [F.desc(measure), F.asc(id_column)]
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.Window.orderBy("_range")) - F.col("_n")
+    offsets = sizes.select("_range", before.alias("_before"))
+    position = F.row_number().over(W.Window.partitionBy("_range").orderBy(*order))
     return (
-        ranged.withColumn("_position", F.row_number().over(inside))
-        .join(offsets, [measure, "_range"])
-        .withColumn(rank_column, F.col("_offset") + F.col("_position"))
-        .drop("_range", "_position", "_offset")
+        ranged.withColumn("_position", position)
+        .join(offsets, "_range")
+        .withColumn(rank_column, F.col("_before") + F.col("_position"))
+        .drop("_range", "_position", "_before")
     )
 
 

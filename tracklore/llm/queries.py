@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import mixing, shards, url_rules
+from tracklore.llm import decontamination, mixing, shards, topk, toxicity, url_rules
 from tracklore.session import prepare
 
 QUERIES: dict = {}
@@ -57,7 +57,7 @@ def _(spark, d):
     docs = table(spark, d, "documents")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     rows = docs.select("doc_id", shards.text_size(F.col("text")).alias("size"), crc.alias("text_crc32"))
-    sharded = shards.shuffle_into_shards(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.lit(64))
+    sharded = shards.shuffle_into_shards(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.lit(256))
     return sharded.select("doc.*", "law", "shard", "slot", "grown_shard")
 
 
@@ -88,3 +88,51 @@ def _(spark, d):
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix_sources(sized, F.col("size"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op1_toxicity")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    fitted = toxicity.fit_toxicity(docs, table(spark, d, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), fitted)
+    return scored.select("doc.doc_id", toxicity.held_out(F.col("doc.doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op4_exact_topk",
+    """WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 10""",
+)
+def _(spark, d):
+    vectors = topk.usable(table(spark, d, "embeddings"))
+    return topk.exact_top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+_WORDS = f"regexp_extract_all(translate(text, '{url_rules.UPPER}', '{url_rules.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op10_benchmark_hits",
+    f"""WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS t
+      FROM b, range(1, 100000) AS r(i) WHERE len(w) > 0 AND i <= len(w) - least(len(w), 13) + 1),
+    places AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS t
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT n FROM windows) WHERE i + n - 1 <= len(w)),
+    found AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, t)),
+    words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+)
+def _(spark, d):
+    hits = decontamination.benchmark_hits(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return decontamination.judged(hits).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import decontamination, mixing, shards, topk, toxicity, url_rules
+from tracklore.llm import decontamination, mixing, ngram_join, shards, topk, toxicity, url_rules
 from tracklore.session import prepare
 
 QUERIES: dict = {}
@@ -136,3 +136,9 @@ def _(spark, d):
     ids = F.sha2(F.array_join("items", ","), 256)
     return decontamination.judged(hits).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+@query("op8_ngram_components")
+def _(spark, d):
+    groups = ngram_join.similar_groups(table(spark, d, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import decontamination, mixing, ngram_join, shards, topk, toxicity, url_rules
+from tracklore.llm import decontamination, html_cut, mixing, ngram_join, shards, topk, toxicity, url_rules
 from tracklore.session import prepare
 
 QUERIES: dict = {}
@@ -142,3 +142,9 @@ def _(spark, d):
 def _(spark, d):
     groups = ngram_join.similar_groups(table(spark, d, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_main_text")
+def _(spark, d):
+    texts = html_cut.extract_main_text(table(spark, d, "pages").select("page_id", "url", "html"))
+    return texts.select("page.page_id", "page.url", "text", "n_chars")

@@ -66,4 +66,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stage_path = path
+    return stored
+
+
+def discard(*stages: DataFrame) -> None:
+    """Removes tables that `cut_lineage` stored, once nothing that is still to run reads them."""
+    for stage in stages:
+        context = stage.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(stage._stage_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklore.session import cut_lineage
+from tracklore.session import cut_lineage, discard
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,12 @@ def connected(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         large = _to_least(_both_ways(edges), F.col("b") > F.col("a"))
-        edges = large.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        small = _to_least(edges, F.lit(True))
-        edges = cut_lineage(
+        larger = large.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        small = _to_least(larger, F.lit(True))
+        before, edges = edges, cut_lineage(
             small.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         )
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -54,7 +54,7 @@ def _placed(packed: DataFrame) -> DataFrame:
     ranges, and a row's place is the number of rows of its source in earlier ranges plus its place in its range.
     """
     ranged = cut_lineage(
-        cut_lineage(packed).repartitionByRange("_source", "_size", "_id").withColumn("_range", F.spark_partition_id())
+        packed.repartitionByRange("_source", "_size", "_id").withColumn("_range", F.spark_partition_id())
     )
     counts = ranged.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_n")
@@ -76,7 +76,7 @@ def mix_sources(docs: DataFrame, size: Column, id_column: str = "doc_id", source
     whole number crossed. Ordered by size, the emitted words differ from the target by no more than about the largest
     document. `copies` is 0 to `most`; rows of size 0 may get copies, which add no words. Null sources form one source,
     null ids come first among equal sizes; equal rows are placed next to each other. Reruns agree.
-    An empty table gives an empty result. Columns of any name are kept inside `doc`.
+    An empty table gives an empty result. Columns of any name are kept inside `doc`. `docs` is evaluated twice.
     """
     packed = docs.select(
         F.struct("*").alias("doc"), F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), size.alias("_size")

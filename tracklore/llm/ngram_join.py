@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracklore.llm import arrow_text as at
 from tracklore.llm.components import connected
-from tracklore.session import cut_lineage
+from tracklore.session import cut_lineage, discard
 
 WORDS, PERCENT = 4, 85
 #: Shingles in more documents than this are moved to the end of the global order, the most frequent ones first, as many
@@ -390,26 +390,31 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # A token is left out only if no other set can have it among its first ones.
     bits = _bitmap(shared.select("token").unionAll(posted.select("token")))
     sent = spark.sparkContext.broadcast((heavy, bits))
-    postings = cut_lineage(
+    every = cut_lineage(
         zones.mapInArrow(_postings_of_zones(sent, percent), POSTINGS_DDL).unionAll(posted).dropDuplicates(["token", "node"]))
-    crowd = postings.groupBy("token").agg(F.count("*").alias("_m")).where("_m > 1").select("token")
-    postings = cut_lineage(postings.join(crowd, "token", "left_semi"))
+    listed = cut_lineage(rows)
+    discard(survey, shared, beyond, posted)
+    sizes = cut_lineage(every.groupBy("token").agg(F.count("*").alias("_m")).where("_m > 1"))
+    met = every.join(sizes.select("token"), "token", "left_semi")
     # The first shingles of a set that no other set has bound every overlap of the set.
-    met = postings.groupBy("node").agg(F.count("*").alias("_met"))
-    postings = cut_lineage(postings.join(met, "node").withColumn("most", _share(F.col("n"), percent) - 1 + F.col("_met")).drop("_met"))
-    sizes = postings.groupBy("token").agg(F.count("*").alias("_m"))
+    known = met.groupBy("node").agg(F.count("*").alias("_met"))
+    postings = cut_lineage(met.join(known, "node").withColumn("most", _share(F.col("n"), percent) - 1 + F.col("_met")).drop("_met"))
+    discard(every)
     crowds = sizes.where(F.col("_m") > CROWD).select("token")
     # Two sets that meet in a crowded column are compared there, others by the columns that are not crowded.
     crowded = cut_lineage(postings.join(crowds, "token", "left_semi").select("token", "node", "n"))
     near = cut_lineage(_crowd_links(crowded, lambda wanted: _sets(texts, nodes, wanted, words), percent))
     pairs = cut_lineage(_products(postings.join(crowds, "token", "left_anti"), percent))
+    discard(postings, sizes, crowded)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = near.unionAll(_verified(pairs, _sets(texts, nodes, ends, words), percent))
+    sets = _sets(texts, nodes, ends, words)
+    links = cut_lineage(near.unionAll(_verified(pairs, sets, percent)))
+    discard(near, pairs, sets)
     joined = connected(links).select("node", F.col("label").alias("_label"))
     labels = cut_lineage(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("_label", "node").alias("label")))
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("least_id").alias("least"))
     named = labels.join(least, "label").select(F.col("node").alias("_node"), "label", "least")
-    return rows.join(named, F.when(F.col("n") > 0, F.col("node")) == F.col("_node"), "left").select(
+    return listed.join(named, F.when(F.col("n") > 0, F.col("node")) == F.col("_node"), "left").select(
         F.col("id").alias(id_column), "key", F.col("n").alias("n_shingles"), "node", "label",
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 

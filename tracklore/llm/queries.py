@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklore.llm import decontamination, html_cut, mixing, ngram_join, shards, topk, toxicity, url_rules
-from tracklore.session import prepare
+from tracklore.session import cut_lineage, prepare
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,7 +86,7 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix_sources(sized, F.col("size"))
+    mixed = mixing.mix_sources(cut_lineage(sized), F.col("size"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

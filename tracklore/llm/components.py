@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklore.session import cut_lineage, discard
+from tracklore.llm.stages import discard, store
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -19,25 +19,27 @@ def _to_least(pairs: DataFrame, keep) -> DataFrame:
     return pairs.join(least, F.col("a") == F.col("_a")).where(keep).select(F.col("b"), F.col("a"), F.col("least"))
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    larger = _to_least(_both_ways(edges), F.col("b") > F.col("a"))
+    larger = larger.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    smaller = _to_least(larger, F.lit(True))
+    return smaller.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node that can be reached.
 
     Large-star and small-star rounds alternate until no edge changes; the number of rounds grows with the logarithm of
-    the size of a component, and a hub's edges combine before the shuffle. Every round is stored.
+    the size of a component, and a hub's edges combine before the shuffle. Every second round is stored.
     """
-    edges = cut_lineage(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct())
+    edges = store(_round(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct()))
     state = None
     while True:
-        large = _to_least(_both_ways(edges), F.col("b") > F.col("a"))
-        larger = large.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        small = _to_least(larger, F.lit(True))
-        before, edges = edges, cut_lineage(
-            small.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        )
-        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        if now == state or not now[0]:
             break
-        state = now
+        state, before = now, edges
+        edges = store(_round(_round(edges)))
+        discard(before)
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionAll(
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracklore.session import cut_lineage
+from tracklore.llm.stages import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating.
@@ -53,7 +53,7 @@ def _placed(packed: DataFrame) -> DataFrame:
     Rows are range-partitioned, so a source with a third of all rows lies in many tasks; the stored rows fix the
     ranges, and a row's place is the number of rows of its source in earlier ranges plus its place in its range.
     """
-    ranged = cut_lineage(
+    ranged = store(
         packed.repartitionByRange("_source", "_size", "_id").withColumn("_range", F.spark_partition_id())
     )
     counts = ranged.groupBy("_source", "_range").agg(F.count("*").alias("_n"))

@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from tracklore.llm import arrow_text as at
 from tracklore.llm.components import connected
-from tracklore.session import cut_lineage, discard
+from tracklore.llm.stages import discard, store
 
 WORDS, PERCENT = 4, 85
 #: Shingles in more documents than this are moved to the end of the global order, the most frequent ones first, as many
 #: as the second figure at most: that list and a bitmap of 2**BITMAP_BITS bits are all that is sent to every task.
 FREQUENT, MOST_FREQUENT, BITMAP_BITS = 64, 1 << 20, 27
-#: Columns with more sets than this are multiplied in memory, in blocks of so many sets and columns.
-CROWD, BLOCK_SETS, COLUMNS = 64, 1024, 4096
+#: Columns with more sets than this are multiplied in memory, in blocks of about so many sets and shingles, so many
+#: columns at a time.
+CROWD, BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 64, 1024, 1 << 20, 4096
 PAGE = 4096
 
 _FACTORS = at.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -228,7 +229,7 @@ def _texts_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
 def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, items) of the wanted nodes."""
     rows = _texts_of(texts, nodes, wanted).mapInArrow(_set_maker(words), "node binary, items array<long>")
-    return cut_lineage(rows.dropDuplicates(["node"]))
+    return store(rows.dropDuplicates(["node"]))
 
 
 def _similar(a: Column, b: Column, shared: Column, percent: int) -> Column:
@@ -324,11 +325,12 @@ def _crowd_links(crowded: DataFrame, sets_of, percent: int) -> DataFrame:
     in memory, so neither sets nor their pairs meet as rows. Classes are a factor 100 / `percent` apart: only equal and
     neighbouring ones can link.
     """
-    members = cut_lineage(
+    members = store(
         _crowds(crowded.select("token", "node")).join(crowded.select("node", "n").distinct(), "node")
         .withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9))
     )
-    counts = members.groupBy("crowd", "class").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    enough = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    counts = members.groupBy("crowd", "class").agg(enough.alias("blocks"))
     members = members.join(counts, ["crowd", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     blocks = counts.select("crowd", "class", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
     a = blocks.select("crowd", F.struct("class", "block").alias("a"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
@@ -375,53 +377,51 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
-    survey = cut_lineage(texts.mapInArrow(_survey(words, percent), SURVEY_DDL))
+    survey = store(texts.mapInArrow(_survey(words, percent), SURVEY_DDL))
     rows = survey.select("id", "key", "n", "node")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "key")).alias("_least"), F.min("id").alias("least_id"))
-    nodes = cut_lineage(nodes.select("node", "_least.*", "least_id"))
-    shared = cut_lineage(
+    nodes = store(nodes.select("node", "_least.*", "least_id"))
+    shared = store(
         survey.select(F.explode("zone").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
     frequent = shared.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
     heavy = np.sort(frequent.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
     zones = survey.where(F.size("zone") > 0).select("n", "zone", "node")
     order = spark.sparkContext.broadcast(heavy)
-    beyond = cut_lineage(zones.mapInArrow(_beyond_zone(order, percent), "node binary").distinct())
-    posted = cut_lineage(_texts_of(texts, nodes, beyond).mapInArrow(_postings_of_texts(order, words, percent), POSTINGS_DDL))
+    beyond = store(zones.mapInArrow(_beyond_zone(order, percent), "node binary").distinct())
+    posted = store(_texts_of(texts, nodes, beyond).mapInArrow(_postings_of_texts(order, words, percent), POSTINGS_DDL))
     # A token is left out only if no other set can have it among its first ones.
     bits = _bitmap(shared.select("token").unionAll(posted.select("token")))
     sent = spark.sparkContext.broadcast((heavy, bits))
-    every = cut_lineage(
+    every = store(
         zones.mapInArrow(_postings_of_zones(sent, percent), POSTINGS_DDL).unionAll(posted).dropDuplicates(["token", "node"]))
-    listed = cut_lineage(rows)
-    discard(survey, shared, beyond, posted)
-    sizes = cut_lineage(every.groupBy("token").agg(F.count("*").alias("_m")).where("_m > 1"))
+    discard(shared, beyond, posted)
+    sizes = store(every.groupBy("token").agg(F.count("*").alias("_m")).where("_m > 1"))
     met = every.join(sizes.select("token"), "token", "left_semi")
     # The first shingles of a set that no other set has bound every overlap of the set.
     known = met.groupBy("node").agg(F.count("*").alias("_met"))
-    postings = cut_lineage(met.join(known, "node").withColumn("most", _share(F.col("n"), percent) - 1 + F.col("_met")).drop("_met"))
+    postings = store(met.join(known, "node").withColumn("most", _share(F.col("n"), percent) - 1 + F.col("_met")).drop("_met"))
     discard(every)
     crowds = sizes.where(F.col("_m") > CROWD).select("token")
     # Two sets that meet in a crowded column are compared there, others by the columns that are not crowded.
-    crowded = cut_lineage(postings.join(crowds, "token", "left_semi").select("token", "node", "n"))
-    near = cut_lineage(_crowd_links(crowded, lambda wanted: _sets(texts, nodes, wanted, words), percent))
-    pairs = cut_lineage(_products(postings.join(crowds, "token", "left_anti"), percent))
-    discard(postings, sizes, crowded)
+    crowded = postings.join(crowds, "token", "left_semi").select("token", "node", "n")
+    near = store(_crowd_links(crowded, lambda wanted: _sets(texts, nodes, wanted, words), percent))
+    pairs = store(_products(postings.join(crowds, "token", "left_anti"), percent))
+    discard(postings, sizes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _sets(texts, nodes, ends, words)
-    links = cut_lineage(near.unionAll(_verified(pairs, sets, percent)))
+    joined = connected(near.unionAll(_verified(pairs, sets, percent))).select("node", F.col("label").alias("_label"))
     discard(near, pairs, sets)
-    joined = connected(links).select("node", F.col("label").alias("_label"))
-    labels = cut_lineage(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("_label", "node").alias("label")))
+    labels = store(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("_label", "node").alias("label")))
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("least_id").alias("least"))
     named = labels.join(least, "label").select(F.col("node").alias("_node"), "label", "least")
-    return listed.join(named, F.when(F.col("n") > 0, F.col("node")) == F.col("_node"), "left").select(
+    return rows.join(named, F.when(F.col("n") > 0, F.col("node")) == F.col("_node"), "left").select(
         F.col("id").alias(id_column), "key", F.col("n").alias("n_shingles"), "node", "label",
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """`docs` with one row of each group, the one with the smallest id; rows without words are kept, equal ones once."""
-    groups = cut_lineage(similar_groups(docs, id_column, text_column, **options))
+    groups = store(similar_groups(docs, id_column, text_column, **options))
     alone = F.concat_ws("|", F.lit("-"), F.col(id_column).cast("string"), F.col("key").cast("string")).cast("binary")
     group = F.coalesce("label", alone)
     first = F.min(F.struct(F.col(id_column).isNull(), F.col(id_column).alias("_id"), F.col("key").alias("_key"))).alias("s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import decontamination, html_cut, mixing, ngram_join, shards, topk, toxicity, url_rules
+from tracklore.llm import chains, decontamination, html_cut, mixing, ngram_join, shards, suffix_dedup, topk, toxicity, url_rules
 from tracklore.session import cut_lineage, prepare
 
 QUERIES: dict = {}
@@ -148,3 +148,14 @@ def _(spark, d):
 def _(spark, d):
     texts = html_cut.extract_main_text(table(spark, d, "pages").select("page_id", "url", "html"))
     return texts.select("page.page_id", "page.url", "text", "n_chars")
+
+
+@query("op3_suffix_dedup")
+def _(spark, d):
+    cleaned = suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return cleaned.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_fuzzy_passages")
+def _(spark, d):
+    return chains.shared_passages(table(spark, d, "documents"))

@@ -22,6 +22,7 @@ ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
 
 _powers = np.ones(1, U64)
+_inverses = np.ones(1, U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,6 +41,16 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Inverses of `powers`, modulo 2**64."""
+    global _inverses
+    if len(_inverses) < n:
+        steps = np.full(max(n, 2 * len(_inverses)), pow(0x9E3779B97F4A7C15, -1, 2**64), U64)
+        steps[0] = 1
+        _inverses = np.cumprod(steps)
+    return _inverses
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (one more than rows); null is empty."""
     if column.null_count:

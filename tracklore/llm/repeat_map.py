@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracklore.llm import arrow_text as at
+from tracklore.llm.stages import discard
 
 #: Documents a counting range is planned for, and bits of the map. Its size is fixed: what is sent to every task does not
 #: grow with the corpus, and a fuller map only passes more hashes on to the exact steps.
 RANGE_DOCS, MAP_BITS = 4096, 27
+#: Bytes of text handled at once.
+BLOCK_BYTES = 1 << 19
 
 
 def _count(range_bits: int, hashes_of: Callable):
@@ -20,7 +23,7 @@ def _count(range_bits: int, hashes_of: Callable):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _lo, _hi, data, offsets in at.blocks(batch.column(0)):
+            for _lo, _hi, data, offsets in at.blocks(batch.column(0), BLOCK_BYTES):
                 hashes, rows = hashes_of(data, offsets)[:2]
                 order = np.lexsort((rows, hashes))
                 hashes, rows = hashes[order], rows[order]
@@ -59,6 +62,8 @@ def repeated(texts: DataFrame, rows: int, hashes_of: Callable) -> np.ndarray:
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for place, part in pieces.toLocalIterator():
         bits[place : place + len(part)] |= np.frombuffer(part, np.uint8)
+    del counted, pieces
+    discard()
     return bits
 
 

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
 
-from tracklore.session import cut_lineage, discard
+from pyspark.sql import DataFrame, SparkSession
+
+from tracklore import session
 
-__all__ = ["discard", "store"]
 #: Files of a stored table per core, at most; shuffles may have far more partitions than a small table needs files.
 FILES_PER_CORE = 4
 
 
 def store(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder; see `cut_lineage`."""
-    return cut_lineage(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+    return session.cut_lineage(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more, and has Spark drop the shuffle files of plans that are gone.
+
+    Shuffle files go when the driver's garbage collector finds their plans unreachable, which a driver with little to do
+    may put off until the disks are full.
+    """
+    session.discard(*tables)
+    gc.collect()
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()

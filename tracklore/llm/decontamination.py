@@ -226,7 +226,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_i
     """`docs` without the contaminated rows; the others unchanged."""
     bad = judged(benchmark_hits(docs, items, id_column, text_column, **options)).where("contaminated")
     keys = bad.select(F.col(id_column).alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    same = docs[id_column].cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_column]) == F.col("_bad_key"))
+    same = docs[id_column].cast("long").eqNullSafe(keys["_bad_id"]) & (F.xxhash64(docs[text_column]) == keys["_bad_key"])
     return docs.join(keys, same, "left_anti")
 
 

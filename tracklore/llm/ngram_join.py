@@ -426,7 +426,7 @@ def keep_one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column:
     group = F.coalesce("label", alone)
     first = F.min(F.struct(F.col(id_column).isNull(), F.col(id_column).alias("_id"), F.col("key").alias("_key"))).alias("s")
     kept = groups.groupBy(group.alias("g")).agg(first).select("s._id", "s._key").distinct()
-    same = docs[id_column].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_key"))
+    same = docs[id_column].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text_column]) == kept["_key"])
     left = docs.join(kept, same, "left_semi")
     repeated = groups.groupBy(id_column, "key").count().where("count > 1").limit(1).count()
     return left.dropDuplicates([id_column, text_column]) if repeated else left

@@ -100,3 +100,18 @@ def test_search_finds_misspelled_names(spark):
     hits = {(r["query"], r["kind"], r["id"]) for r in search.fuzzy_lookup(queries, rows, titled, titled).collect()}
     assert ("radiohed", "artist", 1) in hits and ("radiohed", "album", 5) in hits and ("DUMY", "track", 6) in hits
     assert not {h for h in hits if h[0] in ("zzzzzz", "")}
+
+
+def test_best_of_all_candidates_wins(spark):
+    theirs = mb(spark, ("m1", "Genesis", None, None, "Person", "poet", None), ("m2", "GENESIS", None, None, "Group", None, None))
+    best = e.score_artist_matches(spark.createDataFrame([("Genesis",)], "name string"), theirs).collect()
+    assert [(r["mbid"], r["confidence"]) for r in best] == [("m2", 1.0)]
+    release = [("r1", "OK", "g", "OK", "Album", "1997")]
+    ddl = f"mbid string, title string, length_ms bigint, artist_credit {CREDIT}, releases array<struct<release_mbid: string, " \
+          "release_title: string, release_group_mbid: string, release_group_title: string, release_group_type: string, date: string>>"
+    rows = [("c1", "Song", 1, [("Ann", ("a", "Ann"))], None), ("c2", "Song", 1, [("Ann", ("a", "Ann"))], release),
+            ("d1", "Tune", 1, [("Bob and the Long Band", ("b", "Bob and the Long Band"))], release),
+            ("d2", "Tune", 1, [("Bob & Co", ("b", "Bob & Co"))], release)]
+    asked = spark.createDataFrame([("Song", "Ann"), ("Tune", "Bob")], "title string, artist_name string")
+    found = e.score_recording_matches(asked, spark.createDataFrame(rows, ddl)).collect()
+    assert sorted((r["title"], r["recording_mbid"]) for r in found) == [("Song", "c2"), ("Tune", "d2")]

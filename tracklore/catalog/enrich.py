@@ -104,7 +104,7 @@ close AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY
           WHERE name NOT IN (SELECT name FROM exact_hit)) WHERE place <= 5),
 matches AS (SELECT name, mbid, confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY confidence DESC, mbid) AS rn FROM (
-    SELECT s.name, s.mbid, s.confidence FROM score s JOIN exact_hit h ON h.name = s.name AND h.mbid = s.mbid
+    SELECT name, mbid, confidence FROM score WHERE exact
     UNION ALL SELECT name, mbid, confidence FROM close)) WHERE rn = 1 AND confidence >= 0.8),
 found AS (SELECT artist_id, m.mbid AS new_mbid FROM our_artists a JOIN matches m ON m.name = a.name WHERE a.mbid IS NULL),
 matched AS (SELECT artist_id, mbid AS new_mbid FROM our_artists
@@ -303,13 +303,14 @@ rec AS (SELECT title, artist_name, mbid FROM (
   SELECT a.title, a.artist_name, c.mbid, row_number() OVER (PARTITION BY a.title, a.artist_name
            ORDER BY credit <> lower(artist_name), mbid) AS rn
   FROM asked a JOIN credits c ON c.title = lower(a.title) AND contains(credit, lower(a.artist_name))) WHERE rn = 1),
-rec_score AS (SELECT r.title, r.artist_name, r.mbid AS recording_mbid, releases,
+rec_score AS (SELECT a.title, a.artist_name, c.mbid AS recording_mbid, releases,
     least((1.0::DOUBLE * 0.6::DOUBLE + 2.0::DOUBLE * length(artist_name) / (length(artist_name) + length(credit)) * 0.4::DOUBLE)
-      * (CASE WHEN releases IS NOT NULL THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END), 1.0::DOUBLE) AS confidence
-  FROM rec r JOIN credits c USING (mbid)),
+      * 1.05::DOUBLE, 1.0::DOUBLE) AS confidence
+  FROM asked a JOIN credits c ON c.title = lower(a.title) AND contains(credit, lower(a.artist_name)) AND len(releases) > 0),
 rec_best AS (SELECT title, artist_name, recording_mbid, confidence,
     coalesce(list_filter(releases, lambda r: r."release-group"."primary-type" = 'Album')[1], releases[1]) AS release
-  FROM rec_score WHERE confidence >= 0.7 AND releases IS NOT NULL)"""
+  FROM (SELECT * FROM rec_score QUALIFY row_number() OVER (PARTITION BY title, artist_name
+    ORDER BY confidence DESC, recording_mbid) = 1) WHERE confidence >= 0.7)"""
 
 
 @query("lookup_recording", f"WITH {MB},{RECORDING} SELECT * FROM rec")
@@ -472,7 +473,9 @@ def _cache(spark, d):
 @query("cache_upsert", f"WITH {CACHE} SELECT entity_id, params_hash, response_json FROM latest")
 def _(spark, d):
     cache = _cache(spark, d)
-    return e.cache_upsert(cache.limit(0), cache.drop("expires_at")).select("entity_id", "params_hash", "response_json")
+    early = F.col("fetched_at") < F.lit("2024-01-20").cast("timestamp")
+    stored = e.cache_upsert(cache.where("false"), cache.where(early).drop("expires_at"))
+    return e.cache_upsert(stored, cache.where(~early).drop("expires_at")).select("entity_id", "params_hash", "response_json")
 
 
 @query(

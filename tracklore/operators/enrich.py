@@ -112,12 +112,12 @@ def _credited(credit: Column) -> Column:
     return F.coalesce(F.filter(names, lambda n: n.isNotNull()), F.array().cast("array<string>"))
 
 
-def lookup_titled(wanted: DataFrame, table: DataFrame) -> DataFrame:
-    """(title, artist_name, mbid): equal title ignoring case and an artist credit containing the artist.
+def titled_candidates(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """(title, artist_name, mbid): entries of equal title ignoring case whose credit contains the artist.
 
-    Without an artist the title decides. A credit equal to the artist is preferred over one that contains it, then
-    the lowest mbid: equality is an equi-join on title and credit, so popular titles do not pair up with each other,
-    and only what is left goes through `contains_pairs`.
+    Without an artist the title decides. A credit equal to the artist beats every credit that contains it, so of those
+    only the lowest mbid is kept, and only artists without one go through `contains_pairs`, which gives all: equality is
+    an equi-join on title and credit, so popular titles do not pair up with each other.
     """
     asked = wanted.select("title", "artist_name").distinct().withColumns(
         {"_title": F.lower("title"), "_artist": F.lower("artist_name")}
@@ -125,17 +125,20 @@ def lookup_titled(wanted: DataFrame, table: DataFrame) -> DataFrame:
     entries = table.select(F.lower("title").alias("_title"), "mbid", _credited(F.col("artist_credit")).alias("_credits"))
     by_title = entries.groupBy("_title").agg(F.min("mbid").alias("mbid"))
     no_artist = salted_join(asked.where("artist_name is null"), by_title, ["_title"], F.col("title"))
-    credits = entries.select("_title", "mbid", F.explode("_credits").alias("_artist"))
+    credits = entries.select("_title", "mbid", F.explode("_credits").alias("_artist")).distinct()
     by_credit = credits.groupBy("_title", "_artist").agg(F.min("mbid").alias("mbid"))
     equal = asked.join(by_credit, ["_title", "_artist"])
     rest = asked.where("artist_name is not null").join(by_credit, ["_title", "_artist"], "left_anti")
     queries = rest.select("title", "artist_name", "_title", F.col("_artist").alias("needle"))
-    corpus = by_credit.join(rest.select("_title"), "_title", "left_semi").withColumnRenamed("_artist", "text")
-    contained = contains_pairs(queries, corpus, ["_title"]).groupBy("title", "artist_name").agg(
-        F.min("mbid").alias("mbid")
-    )
+    corpus = credits.join(rest.select("_title"), "_title", "left_semi").withColumnRenamed("_artist", "text")
+    contained = contains_pairs(queries, corpus, ["_title"])
     columns = ["title", "artist_name", "mbid"]
-    return no_artist.select(columns).unionByName(equal.select(columns)).unionByName(contained.select(columns))
+    return no_artist.select(columns).unionByName(equal.select(columns)).unionByName(contained.select(columns)).distinct()
+
+
+def lookup_titled(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """(title, artist_name, mbid): the candidate of lowest mbid for each request."""
+    return titled_candidates(wanted, table).groupBy("title", "artist_name").agg(F.min("mbid").alias("mbid"))
 
 
 # --- scores ------------------------------------------------------------------------------
@@ -148,8 +151,9 @@ def artist_match_score(ratio: Column, disambiguation: Column | str, kind: Column
 
 
 def score_artist_matches(names: DataFrame, mb_artists: DataFrame, accept: float = ARTIST_ACCEPT) -> DataFrame:
-    """(name, mbid, confidence): the best exact or containing artist, if good enough."""
-    exact = lookup_artist_exact(names, mb_artists)
+    """(name, mbid, confidence): the best of all equal or containing artists, if good enough; ties to the lowest mbid."""
+    equal = mb_artists.select(F.lower("name").alias("_key"), "mbid")
+    exact = names.select("name", F.lower("name").alias("_key")).join(equal, "_key").select("name", "mbid")
     fallback = lookup_artist_contains(names, mb_artists).select("name", "mbid")
     facts = mb_artists.select("mbid", F.col("name").alias("_found"), "disambiguation", "type")
     found = exact.unionByName(fallback).join(facts, "mbid")
@@ -168,9 +172,11 @@ def score_recording_matches(
 ) -> DataFrame:
     """(title, artist_name, recording_mbid, confidence, release) for tracks found in the encyclopedia.
 
-    `release` is the first release that belongs to a studio album, or the first one if none does.
+    Every recording with a release is scored; the best wins, ties go to the lowest mbid. `release` is its first release
+    that belongs to a studio album, or the first one if none does.
     """
-    hits = lookup_titled(tracks, mb_recordings)
+    mb_recordings = mb_recordings.where(F.size("releases") > 0)
+    hits = titled_candidates(tracks, mb_recordings)
     facts = mb_recordings.select("mbid", F.col("title").alias("_title"), "artist_credit", "releases")
     rows = hits.join(facts, "mbid").withColumn("_credit", F.explode_outer(_credited(F.col("artist_credit"))))
     rows = rows.withColumn("_title_ratio", indel_ratio(F.lower("title"), F.lower("_title"))).withColumn(
@@ -179,13 +185,14 @@ def score_recording_matches(
     best = rows.groupBy("title", "artist_name", "mbid").agg(
         F.max("_title_ratio").alias("_t"), F.max("_artist_ratio").alias("_a"), F.first("releases").alias("releases")
     )
-    boost = F.when(F.size(F.coalesce("releases", F.array())) > 0, 1.05).otherwise(1.0)
-    confidence = F.least((F.col("_t") * 0.6 + F.col("_a") * 0.4) * boost, F.lit(1.0))
+    confidence = F.least((F.col("_t") * 0.6 + F.col("_a") * 0.4) * F.lit(1.05), F.lit(1.0))
+    rank = F.struct(-F.col("confidence"), "mbid")
+    best = best.withColumn("confidence", confidence).groupBy("title", "artist_name").agg(
+        F.min_by(F.struct("mbid", "confidence", "releases"), rank).alias("_best")).select("title", "artist_name", "_best.*")
     studio = F.filter("releases", lambda r: r["release_group_type"] == "Album")
     release = F.coalesce(F.get(studio, F.lit(0)), F.get("releases", F.lit(0)))
     return best.select(
-        "title", "artist_name", F.col("mbid").alias("recording_mbid"), confidence.alias("confidence"),
-        release.alias("release"),
+        "title", "artist_name", F.col("mbid").alias("recording_mbid"), "confidence", release.alias("release"),
     ).where((F.col("confidence") >= accept) & F.col("release").isNotNull())
 
 

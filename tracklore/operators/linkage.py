@@ -204,7 +204,6 @@ def merge_edges(pairs: DataFrame) -> DataFrame:
 
 
 CLUSTER_DDL = "report_id bigint, winner_id bigint, score int, reason string"
-MAX_ROUNDS = 200
 
 
 def absorb(edges: DataFrame) -> DataFrame:
@@ -216,7 +215,7 @@ def absorb(edges: DataFrame) -> DataFrame:
     renamed to the leaders that remain, and the rest repeats.
     """
     current, losses = edges.select("a", "b", "w", "reason"), []
-    for _ in range(MAX_ROUNDS):
+    while True:
         ends = current.select(F.col("a").alias("me"), F.col("b").alias("other"), "w", "reason").unionByName(
             current.select(F.col("b").alias("me"), F.col("a").alias("other"), "w", "reason")
         )
@@ -228,8 +227,6 @@ def absorb(edges: DataFrame) -> DataFrame:
         leaders = _top(lost.select(F.col("me").alias("node"), F.col("e.other").alias("up")))
         renamed = _rename(_rename(current, leaders, "a"), leaders, "b")
         current = cut_lineage(renamed.where(F.col("a.id") != F.col("b.id")))
-    else:
-        raise RuntimeError("clusters did not settle")
     if not losses:
         return edges.sparkSession.createDataFrame([], CLUSTER_DDL)
     links = losses[0]

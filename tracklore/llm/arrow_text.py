@@ -27,9 +27,14 @@ _inverses = np.ones(1, U64)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values (the splitmix64 finalizer)."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        step = x >> U64(shift)
+        step ^= x
+        step *= U64(factor)
+        x = step
+    step = x >> U64(31)
+    step ^= x
+    return step
 
 
 def powers(n: int) -> np.ndarray:

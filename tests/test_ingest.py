@@ -99,6 +99,22 @@ def test_offset_times(spark):
     assert seconds == [1641000600, 0]
 
 
+def test_text_times(spark):
+    texts = ["Jan 1, 2022 10:00 AM", "2022/01/01 10:00", "01/01/2022 10:00", "Sat, 01 Jan 2022 10:00:00 +0000", "1 Jan 2022 10:00",
+             "20220101T100000", "20220101T100000Z", "Saturday, 1 Jan 2022, 10:00", "2022-01-01 10:00:00", "Jan 1, 2022 10:00", "soon", None]
+    rows = spark.createDataFrame([(None, t) for t in texts], "e bigint, t string")
+    seconds = [r["s"] for r in rows.select(F.unix_seconds(ingest.scrobble_timestamp("e", "t")).alias("s")).collect()]
+    assert seconds == [1641031200] * 10 + [None, None]
+
+
+def test_headers_may_differ_below_one_path(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("uts,artist,track\n1,A,S\n2,B,T\n")
+    (tmp_path / "b.csv").write_text("Song,Band,Timestamp\nU,C,3\n")
+    (tmp_path / "c.csv").write_text("uts,artist,track\n4,D,V\n")
+    rows = history.read_csv_scrobbles(spark, str(tmp_path)).orderBy("uts").collect()
+    assert [(r["uts"], r["artist_name"], r["track_name"]) for r in rows] == [(1, "A", "S"), (2, "B", "T"), (3, "C", "U"), (4, "D", "V")]
+
+
 def test_positional_hashes_are_stable_and_distinct(spark):
     lines = spark.createDataFrame([("f", "a")] * 3 + [("f", "b"), ("g", "a")], "source_file string, payload string")
     first = {r["raw_hash"] for r in ingest.positional_hash(lines).collect()}

@@ -19,7 +19,13 @@ METADATA_FIELDS = {
     "missing_album_name": "master_metadata_album_album_name",
     "missing_track_uri": "spotify_track_uri",
 }
-TEXT_TIME_FORMATS = ["d MMM yyyy, HH:mm"]
+#: Text times beside ISO ones, tried in this order; of two numbers with slashes the first is the month.
+TEXT_TIME_FORMATS = [
+    "d MMM yyyy, HH:mm", "d MMM yyyy HH:mm[:ss]", "MMM d, yyyy h:mm[:ss] a", "MMM d, yyyy HH:mm[:ss]",
+    "yyyy/M/d HH:mm[:ss]", "M/d/yyyy HH:mm[:ss]", "yyyyMMdd'T'HHmmss",
+]
+ZONED_TIME_FORMATS = ["d MMM yyyy HH:mm:ss xx", "yyyyMMdd'T'HHmmssX"]
+WEEKDAY = r"^\s*(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 SAMPLE_ROWS = 3
 
 
@@ -35,10 +41,14 @@ def scrobble_timestamp(epoch: Column | str, text: Column | str, zone: str = "UTC
     """Epoch seconds win; otherwise text, read in `zone` unless it carries an offset."""
     text = F.col(text) if isinstance(text, str) else text
     epoch = F.col(epoch) if isinstance(epoch, str) else epoch
-    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})\s*$") & text.contains(":")
-    naive = F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in TEXT_TIME_FORMATS])
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})\s*$") & (text.contains(":") | text.rlike(r"^\s*\d{8}T"))
+    bare = F.trim(F.regexp_replace(text, WEEKDAY, ""))
+
+    def first_of(formats: list[str]) -> Column:
+        return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
+
     return F.coalesce(
-        F.timestamp_seconds(epoch), F.when(zoned, F.try_to_timestamp(text)).otherwise(F.to_utc_timestamp(naive, zone))
+        F.timestamp_seconds(epoch), F.when(zoned, first_of(ZONED_TIME_FORMATS)).otherwise(F.to_utc_timestamp(first_of(TEXT_TIME_FORMATS), zone))
     )
 
 

@@ -59,12 +59,29 @@ INTEGER_FIELDS = {"uts", "duration_seconds"}
 
 
 def read_csv_scrobbles(spark: SparkSession, *paths: str) -> DataFrame:
-    """Scrobbles with position columns. Files under one path must share a header; pass one path per
-    header otherwise. A file whose header differs from its group fails instead of shifting columns."""
+    """Scrobbles with position columns. Files may have different headers; those with equal ones are read together."""
     reader = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
     )
-    return reduce(DataFrame.unionByName, [resolve_scrobble_header(reader.csv(path)) for path in paths])
+    groups = [group for path in paths for group in files_by_header(spark, path)]
+    return reduce(DataFrame.unionByName, [resolve_scrobble_header(reader.csv(group)) for group in groups])
+
+
+def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files below `path`, those with the same first line together; `path` itself if all have the same.
+
+    Only first lines and file names reach the driver, which lists the files anyway.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.trim(F.col("value")).alias("header"))
+    first = lines.where("block = 0 AND header <> ''").groupBy("file").agg(F.min_by("header", "line").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    if len(groups) <= 1:
+        return [[path]]
+    jvm = spark.sparkContext._jvm
+    # The metadata names files as encoded addresses.
+    return [[jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in g["files"]] for g in groups]
 
 
 def resolve_scrobble_header(raw: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tracklore.operators.skew import first_per_key
+from tracklore.session import exists
 
 LATE = "1 hour"
 SESSION_GAP = "1 hour"
@@ -30,12 +31,9 @@ def stream_ingest(rows: DataFrame, store: str, checkpoint: str) -> None:
         spark = batch.sparkSession
         order = [F.col("source_file"), F.col("source_row")]
         fresh = first_per_key(batch, ["raw_hash"], order)
-        try:
+        if exists(spark, store):  # the first batch finds no store yet
             known = spark.read.parquet(store).where(F.col("batch_id") < batch_id).select("raw_hash")
             fresh = fresh.join(known, "raw_hash", "left_anti")
-        except Exception as error:  # the first batch finds no store yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         # Each batch owns its folder, so a retry replaces what it wrote before.
         fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 

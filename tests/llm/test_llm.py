@@ -268,6 +268,14 @@ def test_components_equal_brute_force(spark, docs, monkeypatch, crowd):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), label[i]) for i, s in sets)
 
 
+def test_longer_copies_just_above_the_threshold_are_linked(spark):
+    # 20 of 23 shingles; where one of the 3 others is among the first of the longer set, a first one of the shorter set is not.
+    base = [[f"v{i}x{k}" for k in range(26)] for i in range(40)]
+    rows = [(2 * i + side, " ".join(words[: 23 + 3 * side])) for i, words in enumerate(base) for side in (0, 1)]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i, _t in rows}
+
+
 def test_one_document_of_each_group_stays(docs):
     kept = ngram_join.keep_one_per_group(docs, words=5, percent=80)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14]

@@ -249,9 +249,15 @@ def _share(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
-def _may_fit(a: str, b: str, percent: int) -> Column:
-    """Whether sets `a` and `b` can be similar by their sizes and the most that each can share."""
-    return _similar(F.col(f"{a}n"), F.col(f"{b}n"), F.least(f"{a}most", f"{b}most", f"{a}n", f"{b}n"), percent)
+def _of_earlier(name: str) -> Column:
+    """A column of that of the sets `a` and `b` whose first shingles end earlier: what the other has of these is posted."""
+    earlier = F.struct("a.late", "a.last") <= F.struct("b.late", "b.last")
+    return F.when(earlier, F.col(f"a.{name}")).otherwise(F.col(f"b.{name}"))
+
+
+def _may_fit(percent: int) -> Column:
+    """Whether sets `a` and `b` can be similar by their sizes and the most that the one that ends earlier can share."""
+    return _similar(F.col("a.n"), F.col("b.n"), F.least(_of_earlier("most"), "a.n", "b.n"), percent)
 
 
 def _crowds(crowded: DataFrame) -> DataFrame:
@@ -355,12 +361,10 @@ def _products(members: DataFrame, percent: int) -> DataFrame:
     more than its other shingles left to share, which bounds the whole overlap.
     """
     a, b = (members.select("token", F.struct("node", "n", "most", "late", "last").alias(x)) for x in "ab")
-    meet = a.join(b, "token").where((F.col("a.node") < F.col("b.node")) & _may_fit("a.", "b.", percent))
+    meet = a.join(b, "token").where((F.col("a.node") < F.col("b.node")) & _may_fit(percent))
     overlap = meet.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(
         F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"))
-    earlier = F.struct("a.late", "a.last") <= F.struct("b.late", "b.last")
-    left = F.when(earlier, _share(F.col("a.n"), percent)).otherwise(_share(F.col("b.n"), percent)) - 1
-    most = F.least(F.col("shared") + left, "a.most", "b.most", "a.n", "b.n")
+    most = F.least(F.col("shared") + _share(_of_earlier("n"), percent) - 1, "a.n", "b.n")
     return overlap.where(_similar(F.col("a.n"), F.col("b.n"), most, percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -397,7 +401,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     discard(shared, beyond, posted)
     sizes = store(every.groupBy("token").agg(F.count("*").alias("_m")).where("_m > 1"))
     met = every.join(sizes.select("token"), "token", "left_semi")
-    # The first shingles of a set that no other set has bound every overlap of the set.
+    # The first shingles that no other set posts bound the overlap with sets whose first shingles end later.
     known = met.groupBy("node").agg(F.count("*").alias("_met"))
     postings = store(met.join(known, "node").withColumn("most", _share(F.col("n"), percent) - 1 + F.col("_met")).drop("_met"))
     discard(every)

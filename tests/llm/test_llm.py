@@ -105,6 +105,37 @@ def test_fuzzy_passages(spark, docs):
     assert chains.shared_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_in_long_chains(spark):
+    def own(name, n):
+        return [f"{name}{k}" for k in range(n)]
+
+    def edited(words, places):
+        return [f"{w}x" if k in places else w for k, w in enumerate(words)]
+
+    shared = {k: own(f"s{k}v", n) for k, n in enumerate((60, 60, 900))}
+    rows = [
+        (1, own("a", 80) + shared[0] + own("b", 100) + shared[1] + own("c", 80)),
+        (2, own("d", 80) + shared[0] + own("e", 100) + shared[1] + own("f", 80)),
+        (3, shared[2]), (4, edited(shared[2], range(300, 600, 4))),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.other_id, r.doc_id, r.start, r.stop, r.other_start, r.other_stop, r.equal_words)
+                 for r in chains.shared_passages(docs).collect())
+    assert got == [(1, 2, 80, 140, 80, 140, 60), (1, 2, 240, 300, 240, 300, 60), (3, 4, 0, 900, 0, 900, 825)]
+
+
+def test_longest_runs_equal_brute_force():
+    draw = np.random.default_rng(11)
+    for _round in range(60):
+        i, j = (np.cumsum(draw.choice([1, 1, 1, 1, 2, 5], 90)) for _side in "ab")
+        best = max(min(i[l] - i[k], j[l] - j[k]) + 1 for k in range(90) for l in range(k, 90)
+                   if 10 * (l - k + 1) >= 8 * (max(i[l] - i[k], j[l] - j[k]) + 1))
+        assert chains._longest(i, j)[0] == best
+        a, b = draw.integers(0, 6, 40), draw.integers(0, 6, 55)
+        x, y = chains._pairs(a, b)
+        assert (a[x] == b[y]).all() and len(x) == chains._last_row(a, b)[-1] == sum(r[2] for r in chains.equal_runs(a, b))
+
+
 # 3
 
 

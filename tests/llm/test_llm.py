@@ -105,23 +105,26 @@ def test_fuzzy_passages(spark, docs):
     assert chains.shared_passages(docs.limit(0)).count() == 0
 
 
-def test_passages_in_long_chains(spark):
+def test_passages_in_long_chains_and_with_edited_ends(spark):
     def own(name, n):
         return [f"{name}{k}" for k in range(n)]
 
     def edited(words, places):
         return [f"{w}x" if k in places else w for k, w in enumerate(words)]
 
-    shared = {k: own(f"s{k}v", n) for k, n in enumerate((60, 60, 900))}
+    shared = {k: own(f"s{k}v", n) for k, n in enumerate((60, 60, 900, 53, 53))}
     rows = [
         (1, own("a", 80) + shared[0] + own("b", 100) + shared[1] + own("c", 80)),
         (2, own("d", 80) + shared[0] + own("e", 100) + shared[1] + own("f", 80)),
         (3, shared[2]), (4, edited(shared[2], range(300, 600, 4))),
+        (5, own("g", 80) + shared[3] + own("h", 80)), (6, own("i", 80) + edited(shared[3], {49}) + own("j", 80)),
+        (7, own("k", 80) + shared[4] + own("l", 80)), (8, own("m", 80) + edited(shared[4], {3}) + own("n", 80)),
     ]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = sorted((r.other_id, r.doc_id, r.start, r.stop, r.other_start, r.other_stop, r.equal_words)
                  for r in chains.shared_passages(docs).collect())
-    assert got == [(1, 2, 80, 140, 80, 140, 60), (1, 2, 240, 300, 240, 300, 60), (3, 4, 0, 900, 0, 900, 825)]
+    assert got == [(1, 2, 80, 140, 80, 140, 60), (1, 2, 240, 300, 240, 300, 60), (3, 4, 0, 900, 0, 900, 825),
+                   (5, 6, 80, 133, 80, 133, 52), (7, 8, 80, 133, 80, 133, 52)]
 
 
 def test_longest_runs_equal_brute_force():

@@ -170,6 +170,18 @@ def removed(rows, length):
         yield i, (len(raw), sum(mask), runs, hashlib.sha256(left).hexdigest())
 
 
+def test_repeats_beside_runs_of_equal_bytes(spark):
+    # The strings of 50 bytes that end in 16 equal ones, against documents with more of these.
+    draw, rows = np.random.default_rng(21), []
+    for k in range(40):
+        prose, fill = "".join(draw.choice(list("abcdefghij klmnop"), 34)), "-.=*"[k % 4]
+        for more in draw.permutation([0, 1 + k % 8, 40]).tolist():
+            rows.append((len(rows), (f"{len(rows)}<" + prose + fill * (16 + more) + f">{len(rows)}").encode()))
+    docs = spark.createDataFrame([(i, raw.decode()) for i, raw in rows], "doc_id long, text string")
+    got = sorted((r.doc.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == list(removed(rows, 50))
+
+
 def test_repeats_equal_brute_force(docs):
     rows = sorted((i, (t or "").encode()) for i, t, _s in ROWS if i is not None)
     got = sorted((r.doc.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))

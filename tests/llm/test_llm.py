@@ -222,6 +222,22 @@ def test_main_text():
     assert html_cut.main_text("<div><p>" + "lorem ipsum " * 500 + '<b x="' * 200)
 
 
+@pytest.mark.parametrize("odd", [
+    '<svg viewBox="0 0 1 1"/>', "<math/>", "<title-bar></title-bar>", "<select-menu>", "<object-viewer>", '<object data="x">', "<svg><path>",
+    "<SVG class='a'><text>drop</text></SVG >", "<select><option>drop</select>",
+])
+def test_main_text_goes_on_behind_odd_elements(odd):
+    para = "Some long sentence of the article that goes on and on for a while, as sentences do."
+    page = f'<body><div class="content"><p>{para}</p>{odd}<p>{para}</p></div></body>'
+    assert html_cut.main_text(page) == f"{para} {para}"
+
+
+@pytest.mark.parametrize("name,kept", [("content has-sidebar", True), ("entry no-comments", True), ("content sidebar", False)])
+def test_names_of_what_is_beside_an_element(name, kept):
+    para = "Some long sentence of the article that goes on and on for a while, as sentences do."
+    assert html_cut.main_text(f'<body><div class="{name}"><p>{para}</p></div></body>') == (para if kept else "")
+
+
 def test_minimum_cut_equals_brute_force():
     draw = np.random.default_rng(2)
     for _round in range(30):

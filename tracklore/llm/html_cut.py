@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 _ATTRIBUTES = r"(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|title|math)\b" + _ATTRIBUTES + r".*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|iframe|title)(?=[\s/>])" + _ATTRIBUTES + r".*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(" + _ATTRIBUTES + r")"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+#: Elements left out with what is in them; without a closing tag only their tag is. Some need none if they end in `/>`.
+LEFT_OUT = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("noscript", "template", "select", "svg", "object", "math")}
+SELF_CLOSED = frozenset(("svg", "math"))
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Names that say what is beside an element, not what it is: has-sidebar, no-comments.
+STATE = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S*")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 BLOCK_TAGS = frozenset(
@@ -75,7 +80,7 @@ def _evidence(tag: str, attributes: str) -> float:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in NAME_PARTS.findall(value)}
+            words = {w.lower() for w in NAME_PARTS.findall(STATE.sub(" ", value))}
             bad |= bool(words & BAD_NAMES)
             good |= bool(words & GOOD_NAMES)
             if "header" in words and not words & GOOD_NAMES:
@@ -115,13 +120,21 @@ def page_blocks(page: str) -> list[tuple[str, Element, float]]:
             else:
                 plain += len(piece.strip())
 
-    done = 0
-    for found in MARKUP.finditer(page):
+    done, never_closed = 0, set()
+    while found := MARKUP.search(page, done):
         add(page[done : found.start()])
         done = found.end()
         tag = (found[3] or "").lower()
         if not tag:
             continue
+        if tag in LEFT_OUT:
+            if not found[2] and tag not in never_closed and not (tag in SELF_CLOSED and found[4].endswith("/>")):
+                closing = LEFT_OUT[tag].search(page, done)
+                if closing:
+                    done = closing.end()
+                else:
+                    never_closed.add(tag)
+            continue
         if tag in BLOCK_TAGS:
             close()
         if found[2]:

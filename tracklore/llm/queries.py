@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import chains, decontamination, html_cut, mixing, ngram_join, shards, suffix_dedup, topk, toxicity, url_rules
+from tracklore.llm import (
+    chains, decontamination, html_cut, imatch, mixing, ngram_join, periodic_runs, shards, suffix_dedup, token_spans, topk, toxicity, url_rules,
+)
 from tracklore.session import cut_lineage, prepare
 
 QUERIES: dict = {}
@@ -159,3 +161,24 @@ def _(spark, d):
 @query("op2_fuzzy_passages")
 def _(spark, d):
     return chains.shared_passages(table(spark, d, "documents"))
+
+
+@query("op11_periodic_runs")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    found = periodic_runs.periodic_runs(docs, "doc_id", periodic_runs.planted_text(F.col("doc_id"), F.col("text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return periodic_runs.with_strongest(found).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_imatch_fingerprints")
+def _(spark, d):
+    return imatch.fingerprints(table(spark, d, "documents"))
+
+
+@query("op13_token_alignment")
+def _(spark, d):
+    return token_spans.align_tokens(table(spark, d, "documents"), token_spans.read_files())

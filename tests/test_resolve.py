@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracklore.functions.similarity import fuzzy_similarity
 from tracklore.operators import resolve as r
+from tracklore.operators.similar_names import similar_pairs, with_forms
 
 RAW = "source string, record_id bigint, artist_name string, album_name string, track_name string, country string"
 
@@ -55,10 +56,40 @@ def test_scopes_do_not_mix(spark):
     assert got == {(1, "abd"): "abd", (2, "abd"): "abd", (2, "abdd"): "abd"}
 
 
-def test_low_threshold_is_refused(spark):
-    reps = spark.createDataFrame([(1, "a", "a", ["a"])], "scope bigint, slug string, name string, ord array<string>")
-    with pytest.raises(ValueError):
-        r.elect(reps, 0.8)
+@pytest.mark.parametrize("threshold", [0.8, 0.72, 0.6, 0.4, 0.0])
+def test_low_thresholds_equal_plain_loop(spark, threshold):
+    names = misspelled(int(threshold * 100), 70) + ["x", "xy"]
+    rows = [(s, name, name, [name]) for s in (1, 2) for name in names[s:]]
+    reps = spark.createDataFrame(rows, "scope bigint, slug string, name string, ord array<string>")
+    got = {(x["scope"], x["slug"]): (x["leader"], round(x["confidence"], 12)) for x in r.elect(reps, threshold).collect()}
+    assert got == {
+        (s, name): (leader, round(score, 12)) for s in (1, 2) for name, (leader, score) in plain_election(names[s:], threshold).items()
+    }
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.35, 0.55, 0.75, 0.8, 0.85, 0.9, 1.0])
+def test_similar_pairs_equal_all_pairs(spark, threshold):
+    names = misspelled(7, 60) + ["a", "ab", "the a", "national the", "x y z", "zx y", "boards of canadaa boards of canada"]
+    df = with_forms(spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "scope long, id long, name string"))
+    got = {(x.l_id, x.r_id): x.score for x in similar_pairs(df.where("id % 3 > 0"), df, threshold).collect()}
+    scores = {(i, j): fuzzy_similarity(a, b) for i, a in enumerate(names) if i % 3 for j, b in enumerate(names)}
+    assert got == {pair: score for pair, score in scores.items() if score >= threshold}
+
+
+def test_thresholds_beyond_0_to_1(spark):
+    df = with_forms(spark.createDataFrame([(1, 1, "a")], "scope long, id long, name string"))
+    for threshold in (-0.1, 1.1):
+        with pytest.raises(ValueError):
+            similar_pairs(df, df, threshold)
+
+
+def test_best_matches_see_every_name(spark):
+    names = misspelled(11, 40)
+    df = spark.createDataFrame(list(enumerate(names)), "candidate_id long, candidate string")
+    got = {x.target: (x.candidate_id, x.score) for x in r.best_matches(df.select(F.col("candidate").alias("target")), df, 0.5).collect()}
+    assert got == {n: (i, 1.0) for i, n in enumerate(names)}
+    got = {x.target: x.candidate_id for x in r.best_matches(spark.createDataFrame([("radioheat",)], "target string"), df, 0.5).collect()}
+    assert got["radioheat"] == max(range(len(names)), key=lambda i: (fuzzy_similarity("radioheat", names[i]), -i))
 
 
 def raw(spark, *rows):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +47,23 @@ def test_equal_sound(a, b):
     assert s.metaphone_text(a) == s.metaphone_text(b) != ""
 
 
+@pytest.mark.parametrize(
+    ("word", "code"),
+    [("laugh", "LF"), ("Thomas", "TMS"), ("school", "SKL"), ("tobacco", "TBK"), ("accept", "AKSPT"), ("judge", "JJ"), ("sign", "SN"),
+     ("action", "AKXN"), ("science", "SNS"), ("xavier", "SFR"), ("white", "WT"), ("physics", "FSKS"), ("lamb", "LM"), ("edge", "EJ"),
+     ("knight", "NT"), ("aerosmith", "ERSM0"), ("rough", "RF"), ("special", "SPXL"), ("why", "")],
+)
+def test_published_codes(word, code):
+    assert s.metaphone_text(word) == code
+
+
+def test_column_and_text_give_the_same_code(spark):
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcdefghiklmnopqrstuwxyz tchhg") for _ in range(rng.randrange(1, 16))) for _ in range(400)]
+    df = spark.createDataFrame([(n,) for n in [*names, "Björk", "", "the  Knife's 9th"]], "n string").select("n", s.metaphone("n").alias("c"))
+    assert all(r.c == s.metaphone_text(r.n) for r in df.collect())
+
+
 def test_sound_is_word_by_word():
     assert s.metaphone_text("the knife") == "0 " + s.metaphone_text("knife")
     assert s.metaphone_text("1975") == ""

@@ -9,6 +9,7 @@ from tracklore.catalog import tables as t
 from tracklore.catalog.registry import query
 from tracklore.functions import similarity, text
 from tracklore.operators import resolve as r
+from tracklore.session import cut_lineage
 
 WITH_RAW = "WITH" + t.RAW_PLAYS
 
@@ -117,20 +118,35 @@ def _(spark, d):
 
 # --- similarity --------------------------------------------------------------------------
 
-NAME_PAIRS = """
-names AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name),
-pairs AS (SELECT a.p_name AS target, b.id AS candidate_id, b.p_name AS candidate
-          FROM names a JOIN names b ON split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) AND a.p_name <> b.p_name)"""
+NAME_PAIRS = f"""
+names AS (SELECT p_name, min(p_partkey) AS id, {sx.matching_form('p_name')} AS form FROM part GROUP BY p_name),
+coded AS MATERIALIZED (SELECT *, {sx.metaphone('form')} AS code FROM names),
+pairs AS (SELECT a.p_name AS target, b.id AS candidate_id, b.p_name AS candidate, a.form AS a, b.form AS b, a.code AS ca, b.code AS cb
+          FROM coded a JOIN coded b ON a.p_name <> b.p_name)"""
 LEVENSHTEIN_RATIO = "round(1 - levenshtein(target, candidate)::DOUBLE / greatest(length(target), length(candidate)), 9)"
+FUZZY = f"round({sx.fuzzy_score('a', 'b', 'ca', 'cb')}, 9)"
+#: Names are matched from here on; well below the threshold for names of people and titles, as part names share words.
+PART_THRESHOLD = 0.6
 
 
-def _name_pairs(spark, d):
-    """Names that share their second word."""
-    names = t.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
-    keyed = names.withColumn("word", F.split_part("p_name", F.lit(" "), F.lit(2)))
-    left = keyed.select("word", F.col("p_name").alias("target"))
-    right = keyed.select("word", F.col("id").alias("candidate_id"), F.col("p_name").alias("candidate"))
-    return left.join(right, "word").where("target <> candidate").drop("word")
+def _part_names(spark, d):
+    return t.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+
+
+def _part_matches(spark, d, threshold=PART_THRESHOLD):
+    """Different part names with a fuzzy score of at least the threshold."""
+    names = cut_lineage(_part_names(spark, d))
+    found = r.matches(names.select(F.col("p_name").alias("target")),
+                      names.select(F.col("id").alias("candidate_id"), F.col("p_name").alias("candidate")), threshold)
+    return found.where("target <> candidate")
+
+
+def _levenshtein_pairs(spark, d):
+    """Different names whose Levenshtein ratio is at least PART_THRESHOLD: 1 - e / longest >= t bounds the ratio of
+    insertions and deletions, d <= 2 e, by 1 - 2 (1 - t) longest / (len a + len b) >= 1 - 2 (1 - t) / (1 + t), since the
+    shorter one has at least t times the letters of the longer one. That ratio finds them, as similar_names does."""
+    ratio = 1 - 2 * (1 - PART_THRESHOLD) / (1 + PART_THRESHOLD)
+    return _part_matches(spark, d, ratio * 0.8 - 1e-9)
 
 
 def _levenshtein_ratio():
@@ -138,30 +154,37 @@ def _levenshtein_ratio():
     return F.round(1 - F.levenshtein("target", "candidate") / longest, 9)
 
 
-@query("fuzzy_score_levenshtein", f"WITH {NAME_PAIRS} SELECT target, candidate, {LEVENSHTEIN_RATIO} AS score FROM pairs")
+@query("fuzzy_score_levenshtein",
+       f"WITH {NAME_PAIRS} SELECT target, candidate, {LEVENSHTEIN_RATIO} AS score FROM pairs WHERE {LEVENSHTEIN_RATIO} >= {PART_THRESHOLD}")
 def _(spark, d):
-    return _name_pairs(spark, d).select("target", "candidate", _levenshtein_ratio().alias("score"))
+    scored = _levenshtein_pairs(spark, d).select("target", "candidate", _levenshtein_ratio().alias("score"))
+    return scored.where(F.col("score") >= PART_THRESHOLD)
 
 
-@query("fuzzy_score")
+@query("fuzzy_score", f"WITH {NAME_PAIRS} SELECT target, candidate, {FUZZY} AS score FROM pairs WHERE {FUZZY} >= {PART_THRESHOLD}")
 def _(spark, d):
-    pairs = _name_pairs(spark, d)
-    return pairs.select("target", "candidate", similarity.fuzzy_score("target", "candidate").alias("score"))
+    return _part_matches(spark, d).select("target", "candidate", F.round("score", 9).alias("score"))
 
 
-@query(
-    "best_match_levenshtein",
-    f"""WITH {NAME_PAIRS}, s AS (SELECT *, {LEVENSHTEIN_RATIO} AS score FROM pairs)
+def _best_of(score):
+    return f"""WITH {NAME_PAIRS}, s AS (SELECT *, {score} AS score FROM pairs)
     SELECT target, candidate_id, candidate, score FROM (SELECT *, row_number() OVER (
-      PARTITION BY target ORDER BY score DESC, candidate_id) AS rn FROM s WHERE score >= 0.6) WHERE rn = 1""",
-)
+      PARTITION BY target ORDER BY score DESC, candidate_id) AS rn FROM s WHERE score >= {PART_THRESHOLD}) WHERE rn = 1"""
+
+
+@query("best_match_levenshtein", _best_of(LEVENSHTEIN_RATIO))
+def _(spark, d):
+    return r.best_match(_levenshtein_pairs(spark, d).drop("score"), _levenshtein_ratio(), PART_THRESHOLD)
+
+
+@query("best_match", _best_of(FUZZY))
 def _(spark, d):
-    return r.best_match(_name_pairs(spark, d), _levenshtein_ratio(), 0.6)
+    return r.best_match(_part_matches(spark, d).drop("score"), F.round(similarity.fuzzy_score("target", "candidate"), 9), PART_THRESHOLD)
 
 
-@query("best_match")
+@query("metaphone", f"SELECT doc_id, {sx.metaphone('text')} AS code FROM documents")
 def _(spark, d):
-    return r.best_match(_name_pairs(spark, d), similarity.fuzzy_score("target", "candidate"), 0.6)
+    return t.table(spark, d, "documents").select("doc_id", similarity.metaphone("text").alias("code"))
 
 
 # --- distinct names ----------------------------------------------------------------------
@@ -278,41 +301,112 @@ def _(spark, d):
     )
 
 
-@query("resolve_artists")
+# With fuzzy matching: every pair of names of a scope is scored in SQL, and the names are read one after the other.
+ARTISTS_FUZZY = f"""
+exploded AS (SELECT artist_name AS raw_name, CAST(i - 1 AS INTEGER) AS position, parts[i] AS name FROM (
+  SELECT artist_name, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT DISTINCT artist_name, parts FROM parts))),
+artist_mentions AS MATERIALIZED (SELECT *, {sx.entity_slug('name')} AS slug, 1 AS scope, row_number() OVER (ORDER BY encode(raw_name), position) AS place
+  FROM exploded),
+{sx.election('artist', 'artist_mentions', r.FUZZY_THRESHOLD)},
+artist_aliases AS MATERIALIZED (SELECT raw_name, position, name, slug, leader, confidence, CASE WHEN leader <> slug THEN 'fuzzy_match'
+    WHEN row_number() OVER (PARTITION BY slug ORDER BY place) = 1 THEN 'new_canonical' ELSE 'exact_match' END AS method
+  FROM artist_mentions JOIN artist_elected USING (scope, slug)),
+artist_names AS (SELECT slug AS leader, name AS canonical FROM artist_aliases WHERE method = 'new_canonical'),
+first_alias AS (SELECT raw_name, leader AS artist FROM artist_aliases WHERE position = 0)"""
+ALBUMS_FUZZY = f"""
+{ALBUM},
+album_names AS (SELECT DISTINCT artist_name, album_name, title AS name, {sx.entity_slug('title')} AS slug FROM albums_clean
+                WHERE artist_name IS NOT NULL),
+album_mentions AS MATERIALIZED (SELECT n.*, artist AS scope, row_number() OVER (ORDER BY encode(artist_name), encode(album_name)) AS place
+  FROM album_names n LEFT JOIN first_alias ON raw_name = artist_name),
+{sx.election('album', 'album_mentions', r.FUZZY_THRESHOLD)},
+album_aliases AS MATERIALIZED (SELECT artist_name, album_name, name, slug, scope AS artist, leader, confidence, CASE WHEN leader <> slug THEN 'fuzzy_match'
+    WHEN row_number() OVER (PARTITION BY scope, slug ORDER BY place) = 1 THEN 'new_canonical' ELSE 'exact_match' END AS method
+  FROM album_mentions JOIN album_elected USING (scope, slug))"""
+TRACKS_FUZZY = f"""
+{TRACK},
+track_names AS (SELECT DISTINCT artist_name, coalesce(album_name, '') AS album_name, track_name, title AS name,
+                       {sx.entity_slug('title')} AS slug FROM tracks_clean WHERE artist_name IS NOT NULL),
+album_first AS (SELECT album_name, artist, leader AS album FROM album_aliases
+  QUALIFY row_number() OVER (PARTITION BY album_name, artist ORDER BY encode(artist_name)) = 1),
+track_mentions AS MATERIALIZED (SELECT n.*, artist AS scope,
+    row_number() OVER (ORDER BY encode(artist_name), encode(n.album_name), encode(track_name)) AS place
+  FROM track_names n LEFT JOIN first_alias ON raw_name = artist_name),
+{sx.election('track', 'track_mentions', r.FUZZY_THRESHOLD)},
+track_aliases AS MATERIALIZED (SELECT artist_name, m.album_name, track_name, name, m.slug, m.scope AS artist, leader, confidence, album,
+    CASE WHEN leader <> m.slug THEN 'fuzzy_match'
+    WHEN row_number() OVER (PARTITION BY m.scope, m.slug ORDER BY place) = 1 THEN 'new_canonical' ELSE 'exact_match' END AS method
+  FROM track_mentions m JOIN track_elected e ON e.scope = m.scope AND e.slug = m.slug
+       LEFT JOIN album_first b ON b.album_name = m.album_name AND b.artist = m.scope)"""
+ARTISTS_RESOLVED = ",".join([t.RAW_PLAYS, PARTS, ARTISTS_FUZZY])
+ALBUMS_RESOLVED = ",".join([ARTISTS_RESOLVED, ALBUMS_FUZZY])
+RESOLVED = ",".join([ALBUMS_RESOLVED, TRACKS_FUZZY])
+
+
+def _slugs(dimension, id_column, name):
+    return dimension.select(id_column, F.col("slug").alias(name))
+
+
+@query(
+    "resolve_artists",
+    f"""WITH {ARTISTS_RESOLVED} SELECT raw_name, position, name, canonical, round(confidence, 9) AS confidence, method
+    FROM artist_aliases JOIN artist_names USING (leader)""",
+)
 def _(spark, d):
     artists, aliases = _artists(spark, d, r.FUZZY_THRESHOLD)
     named = aliases.join(artists.select("artist_id", F.col("name").alias("canonical")), "artist_id")
-    return named.select("raw_name", "position", "name", "canonical", "confidence", "method")
+    return named.select("raw_name", "position", "name", "canonical", F.round("confidence", 9).alias("confidence"), "method")
 
 
-@query("resolve_albums")
+@query(
+    "resolve_albums",
+    f"""WITH {ALBUMS_RESOLVED} SELECT artist_name, album_name, slug, artist, leader AS album, round(confidence, 9) AS confidence, method
+    FROM album_aliases""",
+)
 def _(spark, d):
-    return _albums(spark, d, _artists(spark, d, r.FUZZY_THRESHOLD)[1], r.FUZZY_THRESHOLD)[1]
+    artists, artist_aliases = _artists(spark, d, r.FUZZY_THRESHOLD)
+    albums, aliases = _albums(spark, d, artist_aliases, r.FUZZY_THRESHOLD)
+    named = aliases.join(_slugs(artists, "artist_id", "artist"), "artist_id").join(_slugs(albums, "album_id", "album"), "album_id")
+    return named.select("artist_name", "album_name", "slug", "artist", "album", F.round("confidence", 9).alias("confidence"), "method")
 
 
-@query("resolve_tracks")
+@query(
+    "resolve_tracks",
+    f"""WITH {RESOLVED} SELECT artist_name, album_name, track_name, slug, artist, leader AS track, album, round(confidence, 9) AS confidence,
+    method FROM track_aliases""",
+)
 def _(spark, d):
-    return _everything(spark, d, r.FUZZY_THRESHOLD)[-1]
+    artists, _aa, albums, _ba, tracks, aliases = _everything(spark, d, r.FUZZY_THRESHOLD)
+    named = (aliases.join(_slugs(artists, "artist_id", "artist"), "artist_id").join(_slugs(tracks, "track_id", "track"), "track_id")
+             .join(_slugs(albums, "album_id", "album"), "album_id", "left"))
+    return named.select("artist_name", "album_name", "track_name", "slug", "artist", "track", "album",
+                        F.round("confidence", 9).alias("confidence"), "method")
 
 
-@query("ambiguous_matches")
+@query(
+    "ambiguous_matches",
+    f"""WITH {ARTISTS_RESOLVED} SELECT raw_name, name, canonical AS match, round(confidence, 9) AS confidence
+    FROM artist_aliases JOIN artist_names USING (leader) WHERE method = 'fuzzy_match' AND confidence < {r.AMBIGUOUS_BELOW}""",
+)
 def _(spark, d):
     artists, aliases = _artists(spark, d, r.FUZZY_THRESHOLD)
-    return r.ambiguous_matches(aliases).join(artists.select("artist_id", F.col("name").alias("match")), "artist_id")
+    named = r.ambiguous_matches(aliases).join(artists.select("artist_id", F.col("name").alias("match")), "artist_id")
+    return named.select("raw_name", "name", "match", F.round("confidence", 9).alias("confidence"))
 
 
 @query(
     "resolution_stats",
-    f"""WITH {BY_SLUG}, s AS (
-      SELECT 'artists' AS kind, (SELECT count(DISTINCT artist_name) FROM raw) AS processed, method FROM artist_aliases
-      UNION ALL SELECT 'albums', (SELECT count(*) FROM album_names), method FROM album_aliases
-      UNION ALL SELECT 'tracks', (SELECT count(*) FROM track_names), method FROM track_aliases)
+    f"""WITH {RESOLVED}, s AS (
+      SELECT 'artists' AS kind, (SELECT count(DISTINCT artist_name) FROM raw) AS processed, method, confidence FROM artist_aliases
+      UNION ALL SELECT 'albums', (SELECT count(*) FROM album_names), method, confidence FROM album_aliases
+      UNION ALL SELECT 'tracks', (SELECT count(*) FROM track_names), method, confidence FROM track_aliases)
     SELECT kind, processed, count(*) FILTER (method = 'new_canonical') AS canonical_created,
-           count(*) AS aliases_created, CAST(0 AS BIGINT) AS ambiguous_matches FROM s GROUP BY ALL""",
+           count(*) AS aliases_created, count(*) FILTER (method = 'fuzzy_match' AND confidence < {r.AMBIGUOUS_BELOW}) AS ambiguous_matches
+    FROM s GROUP BY ALL""",
 )
 def _(spark, d):
     raw = t.raw_plays(spark, d)
-    _a, artist_aliases, _b, album_aliases, _t, track_aliases = _everything(spark, d, None)
+    _a, artist_aliases, _b, album_aliases, _t, track_aliases = _everything(spark, d, r.FUZZY_THRESHOLD)
     return (
         r.resolution_stats("artists", r.distinct_raw_artists(raw), artist_aliases)
         .unionByName(r.resolution_stats("albums", r.distinct_raw_albums(raw), album_aliases))
@@ -324,18 +418,18 @@ LINKED = """
 choice AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_name, artist ORDER BY album IS NULL,
              encode(artist_name), encode(album_name)) AS rn FROM track_aliases WHERE artist IS NOT NULL) WHERE rn = 1),
 linked AS (SELECT raw.source, raw.record_id, raw.ts, raw.duration_ms, raw.country, c.artist AS artist_slug,
-                  c.album AS album_slug, c.slug AS track_slug
+                  c.album AS album_slug, c.leader AS track_slug
            FROM raw JOIN first_alias f ON f.raw_name = raw.artist_name
                 JOIN choice c ON c.track_name = raw.track_name AND c.artist = f.artist)"""
 
 
 @query(
     "link_plays",
-    f"""WITH {BY_SLUG},{LINKED} SELECT source, record_id, epoch_us(ts) AS us, duration_ms, artist_slug, album_slug,
+    f"""WITH {RESOLVED},{LINKED} SELECT source, record_id, epoch_us(ts) AS us, duration_ms, artist_slug, album_slug,
     track_slug FROM linked""",
 )
 def _(spark, d):
-    artists, artist_aliases, albums, _album_aliases, tracks, track_aliases = _everything(spark, d, None)
+    artists, artist_aliases, albums, _album_aliases, tracks, track_aliases = _everything(spark, d, r.FUZZY_THRESHOLD)
     linked = r.link_plays(t.raw_plays(spark, d), artist_aliases, track_aliases)
     return (
         linked.join(artists.select("artist_id", F.col("slug").alias("artist_slug")), "artist_id")
@@ -348,11 +442,11 @@ def _(spark, d):
 
 @query(
     "link_plays_again",
-    f"WITH {BY_SLUG},{LINKED} SELECT source, record_id FROM linked WHERE source = 'lastfm'",
+    f"WITH {RESOLVED},{LINKED} SELECT source, record_id FROM linked WHERE source = 'lastfm'",
 )
 def _(spark, d):
     """A second run links only what is new: history is linked first, scrobbles arrive later."""
-    _artists_, artist_aliases, *_rest, track_aliases = _everything(spark, d, None)
+    _artists_, artist_aliases, *_rest, track_aliases = _everything(spark, d, r.FUZZY_THRESHOLD)
     first = r.link_plays(t.raw_history(spark, d), artist_aliases, track_aliases)
     again = r.link_plays(t.raw_plays(spark, d), artist_aliases, track_aliases, first)
     return again.select("source", "record_id")

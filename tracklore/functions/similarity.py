@@ -1,7 +1,7 @@
 """String similarity on candidate pairs.
 
-Spark has Levenshtein and Soundex but neither an insert/delete ratio nor Metaphone, so these
-run as Arrow-batched UDFs. They are only ever applied to pairs that a blocking join produced.
+Spark has Levenshtein and Soundex but neither an insert/delete ratio nor Metaphone. Metaphone is a fold of substitutions
+in column expressions; the ratio runs as an Arrow-batched UDF, only ever on pairs that a join produced.
 """
 
 from __future__ import annotations
@@ -36,78 +36,30 @@ def indel_similarity(left: str, right: str) -> float:
     return 1.0 if total == 0 else 2.0 * lcs_length(left, right) / total
 
 
-# Metaphone (Philips 1990), as a table of context rules: pattern at the current position -> code.
-# Order matters; the first rule that matches consumes the text it matched.
-_METAPHONE_RULES = [
-    (re.compile(rule), code)
-    for rule, code in [
-        (r"(?<=m)b$", ""),
-        (r"cia", "X"),
-        (r"(?<=s)ch", "K"),
-        (r"ch", "X"),
-        (r"(?<=s)c(?=[iey])", ""),
-        (r"c(?=[iey])", "S"),
-        (r"ck", "K"),
-        (r"c", "K"),
-        (r"dg(?=[eiy])", "J"),
-        (r"d", "T"),
-        (r"gh(?![aeiou]|$)", ""),
-        (r"(?<!^)gh$", ""),
-        (r"gn(ed)?$", "N"),
-        (r"g(?=[iey])", "J"),
-        (r"g", "K"),
-        (r"(?<=[aeiou])h(?![aeiou])", ""),
-        (r"(?<=[csptg])h", ""),
-        (r"h", "H"),
-        (r"ph", "F"),
-        (r"q", "K"),
-        (r"sh", "X"),
-        (r"si(?=[oa])", "X"),
-        (r"s", "S"),
-        (r"tch", "X"),
-        (r"ti(?=[oa])", "X"),
-        (r"th", "0"),
-        (r"t", "T"),
-        (r"v", "F"),
-        (r"wh?(?=[aeiou])", "W"),
-        (r"w", ""),
-        (r"x", "KS"),
-        (r"y(?=[aeiou])", "Y"),
-        (r"y", ""),
-        (r"z", "S"),
-        (r"[aeiou]", ""),
-        (r"[bfjklmnpr]", None),
-    ]
+# Metaphone (Philips 1990) as substitutions over a text whose words stand between blanks of their own. Small letters are
+# still to be coded, capitals and 0 are codes. Neither lookaround nor back references in a pattern, so that Java, Python
+# and RE2 (the SQL equivalents) take the same rules. Groups stay small letters, to be coded by a later rule.
+METAPHONE_RULES = [
+    *((f"{letter}{letter}+", letter) for letter in "abdefghijklmnopqrstuvwxyz"),
+    (" [gkp]n", " n"), (" ae", " e"), (" wr", " r"), (" wh", " w"), (" x", " s"), (" thom", " tom"), ("mb ", "m "),
+    ("tch", "ch"), ("ti([ao])", "Xi<1>"), ("th", "0"),
+    ("cia", "Xia"), ("sch", "SK"), ("ch", "X"), ("sc([iey])", "S<1>"), ("c([iey])", "S<1>"), ("c?k", "K"), ("c+", "K"),
+    ("dg([eiy])", "J<1>"), ("d", "T"),
+    ("([ao]u)gh ", "<1>F "), ("gh([^aeiou])", "<1>"), ("gh", "K"), ("gn(eT)? ", "n "), ("g([iey])", "J<1>"), ("g", "K"),
+    ("ph", "F"), ("sh", "X"), ("([aeiou])h([^aeiou])", "<1><2>"),
+    ("si([ao])", "Xi<1>"), ("x", "KS"), ("w([aeiou])", "W<1>"), ("w", ""), ("y([aeiou])", "Y<1>"), ("y", ""),
+    *((f" {vowel}", f" {vowel.upper()}") for vowel in "aeiou"), ("[aeiou]", ""),
 ]
-_INITIAL = [(re.compile(r"^(?:[gkp]n)"), "n"), (re.compile(r"^ae"), "e"), (re.compile(r"^wr"), "r"),
-            (re.compile(r"^wh"), "w"), (re.compile(r"^x"), "s")]
-
-
-def _word_code(word: str) -> str:
-    for pattern, replacement in _INITIAL:
-        word, changed = pattern.subn(replacement, word)
-        if changed:
-            break
-    word = re.sub(r"([abd-z])\1+", r"\1", word)
-    code, at = [], 0
-    if word and word[0] in "aeiou":
-        code.append(word[0].upper())
-        at = 1
-    while at < len(word):
-        for pattern, sound in _METAPHONE_RULES:
-            match = pattern.match(word, at)
-            if match:
-                code.append(match.group().upper() if sound is None else sound)
-                at = match.end()
-                break
-        else:
-            at += 1
-    return "".join(code)
+#: Letters that are their own code, or always the same one.
+METAPHONE_LETTERS = ("bfhjlmnpqrstvz", "BFHJLMNPKRSTFS")
 
 
 def metaphone_text(text: str) -> str:
     """Metaphone word by word, so that a leading article changes only the first word."""
-    return " ".join(code for code in map(_word_code, re.findall(r"[a-z]+", text.lower())) if code)
+    code = " " + re.sub("[^a-z]+", "  ", text.lower()) + " "
+    for pattern, replacement in METAPHONE_RULES:
+        code = re.sub(pattern, re.sub("<([12])>", r"\\\1", replacement), code)
+    return re.sub(" +", " ", code.translate(str.maketrans(*METAPHONE_LETTERS))).strip(" ")
 
 
 def article_variant(left: str, right: str) -> bool:
@@ -165,11 +117,6 @@ def _fuzzy_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([fuzzy_similarity(a or "", b or "") for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf(T.StringType())
-def _metaphone_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda value: None if value is None else metaphone_text(value))
-
-
 @F.pandas_udf(T.IntegerType())
 def _substring_errors_udf(pattern: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([best_substring_errors(p, t) for p, t in zip(pattern, text)], dtype="int32")
@@ -180,7 +127,12 @@ def indel_ratio(left: Column | str, right: Column | str) -> Column:
 
 
 def metaphone(value: Column | str) -> Column:
-    return _metaphone_udf(value)
+    """`metaphone_text` in column expressions."""
+    value = F.col(value) if isinstance(value, str) else value
+    code = F.concat(F.lit(" "), F.regexp_replace(F.lower(value), "[^a-z]+", "  "), F.lit(" "))
+    for pattern, replacement in METAPHONE_RULES:
+        code = F.regexp_replace(code, pattern, re.sub("<([12])>", r"$\1", replacement))
+    return F.trim(F.regexp_replace(F.translate(code, *METAPHONE_LETTERS), " +", " "))
 
 
 def fuzzy_score(left: Column | str, right: Column | str) -> Column:

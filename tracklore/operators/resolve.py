@@ -1,9 +1,9 @@
 """Raw names to canonical artists, albums and tracks, and raw plays to canonical plays.
 
 Names are read in sorted order and each new name joins the best earlier canonical name that is similar enough, or
-becomes canonical itself. Instead of one loop over all names, names first collapse to one representative per slug,
-and only names that sound alike are compared: with a threshold above 0.8 nothing else can reach it, except pairs
-that differ by a leading "the".
+becomes canonical itself. Instead of one loop over all names, names first collapse to one representative per slug. With
+a threshold above 0.8 only names that sound alike are compared, as nothing else can reach it but pairs that differ by a
+leading "the"; with a lower one the similar pairs come from a join that loses none (`similar_names`).
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from tracklore.functions.similarity import fuzzy_score, fuzzy_similarity, metaphone
 from tracklore.functions.text import artist_parts, canonical_album, canonical_track, entity_slug, matching_form
+from tracklore.operators.similar_names import SOUND_WEIGHT, similar_pairs, with_forms
 from tracklore.operators.skew import salted_join, top_per_key
-from tracklore.session import cut_lineage
+from tracklore.session import cut_lineage, discard
 
 FUZZY_THRESHOLD = 0.85
 AMBIGUOUS_BELOW = 0.95
-SOUND_WEIGHT = 0.2
 
 
 # --- distinct names ----------------------------------------------------------------------
@@ -78,8 +78,8 @@ def elect(reps: DataFrame, threshold: float | None = FUZZY_THRESHOLD, block_limi
     alone = reps.select("scope", "slug", F.col("slug").alias("leader"), F.lit(1.0).alias("confidence"))
     if threshold is None:
         return alone
-    if threshold <= 4 * SOUND_WEIGHT:
-        raise ValueError("a threshold of 0.8 or less would let names match that do not sound alike")
+    if threshold <= 1 - SOUND_WEIGHT:
+        return _elect_by_pairs(reps, threshold)
     blocked = cut_lineage(_blocks(reps))
     sizes = blocked.groupBy("block").agg(F.count("*").alias("n"))
     sized = salted_join(blocked, sizes, ["block"], F.col("slug"))
@@ -203,6 +203,41 @@ def _elect_large(members: DataFrame, threshold: float, batch: int) -> DataFrame:
     )
 
 
+def _elect_by_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """The election over the similar pairs of all names, decided in rounds.
+
+    A name whose earlier similar names are all followers leads, one with an earlier similar leader follows. Each round
+    decides every name that it can from those decided so far; there are as many rounds as the longest chain of names that
+    wait for one another, not one per name. Names without a similar earlier one lead from the start and never wait.
+    """
+    names = cut_lineage(with_forms(reps).withColumn("id", F.struct("scope", "slug")))
+    order = names.select("id", "ord")
+    found = similar_pairs(names, names, threshold, F.col("l_id") != F.col("r_id")).where("score > 0")  # 0 is no match
+    edges = cut_lineage(
+        found.join(order.select(F.col("id").alias("l_id"), F.col("ord").alias("l_ord")), "l_id")
+        .join(order.select(F.col("id").alias("r_id"), F.col("ord").alias("r_ord")), "r_id")
+        .where("l_ord < r_ord").select("l_id", "l_ord", "r_id", "score"))
+    waiting = edges.select(F.col("r_id").alias("id")).distinct()
+    decided = cut_lineage(order.select("id").join(waiting, "id", "left_anti").withColumn("leads", F.lit(True)))
+    while True:
+        status = decided.select(F.col("id").alias("l_id"), F.col("leads").alias("l_leads"))
+        open_edges = edges.join(decided.select(F.col("id").alias("r_id")), "r_id", "left_anti").join(status, "l_id", "left")
+        seen = open_edges.groupBy(F.col("r_id").alias("id")).agg(
+            F.coalesce(F.bool_or("l_leads"), F.lit(False)).alias("_led"), F.bool_or(F.col("l_leads").isNull()).alias("_waits"))
+        new = cut_lineage(seen.where("_led or not _waits").select("id", (~F.col("_led")).alias("leads")))
+        if new.isEmpty():
+            break
+        merged = cut_lineage(decided.unionByName(new))
+        discard(decided, new)
+        decided = merged
+    leaders = decided.where("leads").select(F.col("id").alias("l_id"))
+    best = edges.join(leaders, "l_id", "left_semi").join(decided.where("not leads").select(F.col("id").alias("r_id")), "r_id", "left_semi").groupBy(
+        "r_id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "l_ord", F.col("l_id.slug").alias("slug"))).alias("best"))
+    follow = best.select("r_id.scope", "r_id.slug", F.col("best.slug").alias("leader"), (-F.col("best.neg")).alias("confidence"))
+    lead = decided.where("leads").select("id.scope", "id.slug", F.col("id.slug").alias("leader"), F.lit(1.0).alias("confidence"))
+    return lead.unionByName(follow)
+
+
 _BEST_DDL = "struct<neg: double, l_ord: array<string>, l_slug: string>"
 
 
@@ -356,7 +391,10 @@ def resolution_stats(kind: str, raw_names: DataFrame, aliases: DataFrame) -> Dat
 
 def best_match(pairs: DataFrame, score: Column, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Best candidate per target among pairs (target, candidate_id, candidate); lowest id on a tie."""
-    scored = pairs.withColumn("score", score).where(F.col("score") >= threshold)
+    return _best(pairs.withColumn("score", score).where(F.col("score") >= threshold))
+
+
+def _best(scored: DataFrame) -> DataFrame:
     best = scored.groupBy("target").agg(
         F.min(F.struct((-F.col("score")).alias("neg"), "candidate_id", "candidate")).alias("best")
     )
@@ -366,6 +404,22 @@ def best_match(pairs: DataFrame, score: Column, threshold: float = FUZZY_THRESHO
     )
 
 
+def matches(targets: DataFrame, candidates: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(target, candidate_id, candidate, score) of all names that reach the threshold, for targets (target) and
+    candidates (candidate_id, candidate); found by a join that compares only names which can reach it."""
+    everywhere = F.lit(1).cast("long").alias("scope")
+    left = with_forms(targets.select("target").distinct(), "target").select(everywhere, F.col("target").alias("id"), "form", "code")
+    right = with_forms(candidates.select("candidate_id", "candidate").distinct(), "candidate").select(
+        everywhere, F.struct("candidate_id", "candidate").alias("id"), "form", "code")
+    return similar_pairs(left, right, threshold).select(
+        F.col("l_id").alias("target"), F.col("r_id.candidate_id").alias("candidate_id"), F.col("r_id.candidate").alias("candidate"), "score")
+
+
+def best_matches(targets: DataFrame, candidates: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """The best of the `matches` of each target, lowest id on a tie; targets with none above 0 are left out."""
+    return _best(matches(targets, candidates, threshold).where("score > 0"))
+
+
 # --- linking plays -----------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -107,6 +108,94 @@ def test_text_times(spark):
     assert seconds == [1641031200] * 10 + [None, None]
 
 
+def test_ordinary_spellings_of_dates(spark):
+    ten, midnight = 1641031200, 1640995200
+    texts = {
+        "Jan 1 2022 10:00": ten, "1 January 2022 10:00": ten, "January 1, 2022 10:00 AM": ten, "01.02.2022 10:00": ten + 86400,
+        "2022-01-01 10:00 PM": ten + 12 * 3600, "2022-01-01T10:00+0000": ten, "Jan 1, 2022": midnight, "1/1/2022": midnight,
+        "1/1/22 10:00": ten, "01 Jan 2022, 10:00:00": ten, "2022/01/01": midnight, "1/1/2022 10:00 AM": ten,
+        "Sat Jan  1 10:00:00 2022": ten, "13/01/2022 10:00": ten + 12 * 86400, "1st of Jan 2022 at 10:00": ten, "2022-1-1 10:00": ten,
+        "Sat, 1 Jan 2022 12:00 am": midnight, "1 Jan 2022 10:00 +0200": ten - 7200, "10:00 1 Jan 2022 UTC": ten, "2022 Jan 1": midnight,
+        "Jan 32 2022": None, "10:00": None, "1 Foo 2022": None, "1/2": None, "13/13/2022": None, "1 Jan 2022 25:00": None,
+        "1 Jan 2022 13:00 pm": None, "": None,
+    }
+    rows = spark.createDataFrame([(None, t) for t in texts], "e bigint, t string")
+    got = {r["t"]: r["s"] for r in rows.select("t", F.unix_seconds(ingest.scrobble_timestamp("e", "t")).alias("s")).collect()}
+    assert got == texts
+    berlin = rows.select("t", F.unix_seconds(ingest.scrobble_timestamp("e", "t", "Europe/Berlin")).alias("s"))
+    local = {r["t"]: r["s"] for r in berlin.collect()}
+    assert local["Jan 1, 2022"] == midnight - 3600 and local["1 Jan 2022 10:00 +0200"] == ten - 7200
+
+
+def test_blank_in_header_and_brackets_in_names(spark, tmp_path):
+    (tmp_path / "a[1].csv").write_text("uts,artist,track\n1,A,S\n")
+    (tmp_path / "b{x}.csv").write_text("uts,artist,track \n2,B,T\n")
+    (tmp_path / "c*.csv").write_text("uts,artist,track\n3,C,U\n")
+    rows = history.read_csv_scrobbles(spark, str(tmp_path)).orderBy("uts").collect()
+    assert [(r["uts"], r["artist_name"], r["track_name"]) for r in rows] == [(1, "A", "S"), (2, "B", "T"), (3, "C", "U")]
+
+
+def json_value(rng, depth=0):
+    kind = rng.randrange(6)
+    if kind == 0:
+        return rng.choice(["a}b", "{x", '"q"', "\\", "[]", "é日", '"},{"', '\\"}', "\n"])
+    if kind == 1 and depth < 3:
+        return {rng.choice("abc}{"): json_value(rng, depth + 1) for _ in range(rng.randrange(3))}
+    if kind == 2 and depth < 3:
+        return [json_value(rng, depth + 1) for _ in range(rng.randrange(3))]
+    return rng.choice(["s", 7, None])
+
+
+def json_object(rng):
+    return {rng.choice(["ts", "k}", "n"]) + str(i): json_value(rng) for i in range(rng.randrange(5))}
+
+
+def test_json_files_in_blocks(spark, tmp_path):
+    """Blocks of 300 bytes against a JSON parser: nested values, braces in strings, lists under other names, broken files."""
+    rng, expected = random.Random(4), {}
+    for n in range(30):
+        rows = [json_object(rng) if rng.random() < 0.75 else json_value(rng) for _ in range(rng.randrange(25))]
+        kind = rng.randrange(5)
+        body = {2: {"meta": json_value(rng), "other": [json_object(rng)] * 2, "plays": rows, "tail": [json_object(rng)]},
+                3: {"plays": rows}, 4: {"rows": rows}}.get(kind, rows)
+        text = json.dumps(body, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+        broken = rng.random() < 0.15 and len(text) > 10
+        text = text[: rng.randrange(5, len(text) - 1)] if broken else text
+        (tmp_path / f"f{n}.json").write_text(("\ufeff" if rng.random() < 0.2 else "") + text, encoding="utf-8")
+        expected[f"f{n}.json"] = [] if broken or kind == 4 else [r for r in rows if isinstance(r, dict)]
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = history.read_json_history(spark, str(tmp_path)).orderBy("source_file", "source_row").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {name: [] for name in expected}
+    for r in found:
+        got[r["source_file"].split("/")[-1]].append(json.loads(r["payload"]))
+    assert got == expected
+
+
+def test_reingest_adds_nothing_and_keeps_equal_rows_of_other_files(spark, tmp_path):
+    text = "uts,artist,track\n1,A,S\n1,A,S\n2,\"B\nC\",T\n"
+    (tmp_path / "a.csv").write_text(text)
+
+    def read():
+        return ingest.with_positional_hash(history.read_csv_scrobbles(spark, str(tmp_path)))
+
+    stored = {r["raw_hash"] for r in read().collect()}
+    known = spark.createDataFrame([(h,) for h in stored], "raw_hash string")
+    assert len(stored) == 3 and ingest.new_scrobbles(read(), known).count() == 0
+    (tmp_path / "b.csv").write_text(text)
+    (tmp_path / "0.csv").write_text("uts,artist,track\n9,Z,Z\n")
+    new = ingest.new_scrobbles(read(), known).collect()
+    assert sorted((r["source_file"][-5:], r["source_row"], r["uts"]) for r in new) == [("0.csv", 1, 9), ("b.csv", 1, 1), ("b.csv", 2, 1), ("b.csv", 3, 2)]
+    everything = read()
+    assert everything.select("raw_hash").distinct().count() == 7
+
+
 def test_headers_may_differ_below_one_path(spark, tmp_path):
     (tmp_path / "a b.csv").write_text("uts,artist,track\n1,A,S\n2,B,T\n")
     (tmp_path / "b.csv").write_text("Song,Band,Timestamp\nU,C,3\n")

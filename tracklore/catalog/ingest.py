@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracklore.catalog import tables as t
 from tracklore.catalog.registry import query
 from tracklore.operators import ingest as i
-from tracklore.session import scratch_path
+from tracklore.session import cut_lineage, scratch_path
 from tracklore.sources import history as h
 
 # --- streaming history rows derived from events -------------------------------------------
@@ -304,6 +304,42 @@ def _(spark, d):
     return i.positional_hash(lines)
 
 
+def _scrobble_file(spark, d, path):
+    """One CSV file of all scrobbles in the order of their events; the columns are those of `_scrobbles`."""
+    rows = _scrobbles(spark, d).select(F.col("uts").cast("string").alias("uts"), F.col("artist_name").alias("artist"),
+                                       F.col("track_name").alias("track"), F.col("position.line").alias("source"))
+    rows.orderBy("source").coalesce(1).write.option("header", True).csv(path)
+
+
+@query(
+    "positional_hash_lines",
+    f"""WITH {SCROBBLES} SELECT event_id, row_number() OVER (ORDER BY event_id) AS source_row FROM scrob""",
+)
+def _(spark, d):
+    """The number of each record in its file, which its hash is made of."""
+    path = scratch_path(spark, "numbered")
+    _scrobble_file(spark, d, path)
+    return i.with_positional_hash(h.read_csv_scrobbles(spark, path)).select(F.col("application").cast("bigint").alias("event_id"), "source_row")
+
+
+@query(
+    "scrobble_reingest",
+    f"""WITH {SCROBBLES} SELECT event_id, run FROM scrob, (SELECT CAST(unnest([1, 3]) AS INTEGER) AS run)""",
+)
+def _(spark, d):
+    """Three ingests of a growing folder: the second finds nothing new, the third the rows of one more file, though equal."""
+    path = scratch_path(spark, "landing")
+    stored = None
+    for run in (1, 2, 3):
+        if run != 2:
+            _scrobble_file(spark, d, f"{path}/part={run}")
+        hashed = i.with_positional_hash(h.read_csv_scrobbles(spark, f"{path}/*"))
+        new = cut_lineage(i.new_scrobbles(hashed, stored).select(
+            F.col("application").cast("bigint").alias("event_id"), F.lit(run).alias("run"), "raw_hash"))
+        stored = new if stored is None else stored.unionByName(new)
+    return stored.select("event_id", "run")
+
+
 # --- files -------------------------------------------------------------------------------
 
 

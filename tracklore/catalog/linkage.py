@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracklore.catalog import sql_text as sx
 from tracklore.catalog import tables as t
 from tracklore.catalog.registry import query
 from tracklore.operators import linkage as k
@@ -211,7 +212,31 @@ def _(spark, d):
     return k.dedupe_undo(k.dedupe_mark(t.event_plays(spark, d))).select("play_id", "is_duplicate", "duplicate_of")
 
 
-@query("dedupe_fuzzy_titles")
+FUZZY_TITLES = t.EVENT_PLAYS + f""",
+lp AS (SELECT *, epoch_us(ts) AS us, coalesce(nullif(duration_ms, 0), nullif(ms_played, 0)) AS dur FROM plays
+       WHERE track_id IS NOT NULL AND artist_id IS NOT NULL),
+titled AS (SELECT lp.*, coalesce(p_name, '') AS title FROM lp LEFT JOIN part ON p_partkey = track_id),
+near AS (SELECT a.play_id AS a_id, b.play_id AS b_id, b.us - a.us AS diff, a.track_id = b.track_id AS same_track,
+                a.title AS a_title, b.title AS b_title, coalesce(a.album_id = b.album_id, FALSE) AS same_album,
+                coalesce(abs(a.dur - b.dur) <= greatest(a.dur, b.dur) * 0.1::DOUBLE, FALSE) AS same_dur
+         FROM titled a JOIN titled b ON a.artist_id = b.artist_id AND a.source <> b.source
+              AND (a.us < b.us OR (a.us = b.us AND a.play_id < b.play_id)) AND b.us - a.us <= 120000000),
+alike AS (SELECT *, CASE WHEN a_title <> '' AND b_title <> '' THEN {sx.ratio('a_title', 'b_title')} ELSE 0 END AS ratio FROM near),
+scored AS (SELECT *, CAST(CASE WHEN diff = 0 THEN 50 WHEN diff <= 30000000 THEN 40 WHEN diff <= 60000000 THEN 30 ELSE 20 END
+                + CASE WHEN same_track THEN 30 ELSE 20 END + CASE WHEN same_album THEN 10 ELSE 0 END
+                + CASE WHEN same_dur THEN 10 ELSE 0 END AS INTEGER) AS score,
+              concat_ws(', ', CASE WHEN diff = 0 THEN 'exact_timestamp' WHEN diff <= 30000000 THEN 'within_30s'
+                              WHEN diff <= 60000000 THEN 'within_60s' ELSE 'within_120s' END,
+                        CASE WHEN same_track THEN 'same_canonical_track' ELSE printf('fuzzy_track_%.2f', ratio) END,
+                        CASE WHEN same_album THEN 'same_album' END, CASE WHEN same_dur THEN 'duration_match' END) AS reason
+           FROM alike WHERE same_track OR ratio >= {k.TITLE_THRESHOLD})"""
+
+
+@query(
+    "dedupe_fuzzy_titles",
+    f"""WITH {FUZZY_TITLES} SELECT least(a_id, b_id) AS play_a_id, greatest(a_id, b_id) AS play_b_id, score, reason,
+    CASE WHEN score >= 70 THEN 'merge' WHEN score >= 50 THEN 'review' END AS decision FROM scored""",
+)
 def _(spark, d):
     """Artist-wide pairing by title instead of by track."""
     titles = t.tracks(spark, d).select(F.col("id").alias("track_id"), "title")

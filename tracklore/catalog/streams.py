@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracklore.catalog import names
 from tracklore.catalog import tables as t
 from tracklore.catalog.ingest import FIRST, HISTORY, _payloads
 from tracklore.catalog.metrics import MONTHLY_SUMMARY, ARTIST_BASIC, MONTHLY, DAILY, TIER, WITH_ORDERS
@@ -98,18 +99,56 @@ def _(spark, d):
     return spark.read.parquet(f"{_store(spark, d)}/artist_measures").drop("bucket")
 
 
-@query("full_refresh")
+# Plays that came through resolution with fuzzy names and linking, and their clusters: ids are (source, record_id).
+LINKED_PLAYS = f"""{names.RESOLVED},{names.LINKED},
+lp AS MATERIALIZED (SELECT source || ':' || record_id AS play_id, source, artist_slug, track_slug, album_slug, epoch_us(ts) AS us, ts,
+         nullif(duration_ms, 0) AS dur, duration_ms FROM linked),
+near AS (SELECT a.play_id AS a_id, b.play_id AS b_id, b.us - a.us AS diff, coalesce(a.album_slug = b.album_slug, FALSE) AS same_album,
+                coalesce(abs(a.dur - b.dur) <= greatest(a.dur, b.dur) * 0.1::DOUBLE, FALSE) AS same_dur
+         FROM lp a JOIN lp b ON a.track_slug = b.track_slug AND a.artist_slug = b.artist_slug AND a.source <> b.source
+              AND (a.us < b.us OR (a.us = b.us AND a.play_id < b.play_id)) AND b.us - a.us <= 120000000),
+merges AS MATERIALIZED (SELECT a_id, b_id FROM near WHERE CASE WHEN diff = 0 THEN 50 WHEN diff <= 30000000 THEN 40 WHEN diff <= 60000000 THEN 30
+    ELSE 20 END + 30 + CASE WHEN same_album THEN 10 ELSE 0 END + CASE WHEN same_dur THEN 10 ELSE 0 END >= 70),
+links AS (SELECT a_id AS x, b_id AS y FROM merges UNION ALL SELECT b_id, a_id FROM merges),
+reach AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+clusters AS (SELECT x, min(y) AS cluster FROM reach GROUP BY x),
+ranked AS (SELECT cluster, source, row_number() OVER (PARTITION BY cluster ORDER BY CASE source WHEN 'spotify' THEN 4
+      WHEN 'apple_music' THEN 3 WHEN 'lastfm' THEN 2 WHEN 'manual' THEN 1 ELSE 0 END DESC, dur IS NULL, us) AS place
+   FROM clusters JOIN lp ON x = play_id)"""
+
+
+@query(
+    "full_refresh",
+    f"""WITH RECURSIVE {LINKED_PLAYS},
+    kept AS (SELECT strftime(lp.ts, '%Y-%m') AS ym, coalesce(duration_ms, 0) AS ms, artist_slug, track_slug, album_slug
+      FROM lp LEFT JOIN (SELECT x, row_number() OVER (PARTITION BY cluster ORDER BY CASE source WHEN 'spotify' THEN 4
+      WHEN 'apple_music' THEN 3 WHEN 'lastfm' THEN 2 WHEN 'manual' THEN 1 ELSE 0 END DESC, dur IS NULL, us) AS place
+      FROM clusters JOIN lp ON x = play_id) c ON c.x = lp.play_id WHERE coalesce(place, 1) = 1),
+    firsts AS (SELECT ym, count(*) AS n FROM (SELECT artist_slug, min(ym) AS ym FROM kept GROUP BY 1) GROUP BY 1),
+    tops AS (SELECT ym, max(n) AS n FROM (SELECT ym, artist_slug, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1)
+    SELECT k.ym AS year_month, count(*) AS total_plays, CAST(sum(ms) AS BIGINT) AS total_duration_ms,
+      count(DISTINCT artist_slug) AS unique_artists, count(DISTINCT (artist_slug, album_slug)) FILTER (album_slug IS NOT NULL) AS unique_albums,
+      count(DISTINCT (artist_slug, track_slug)) AS unique_tracks, coalesce(any_value(firsts.n), 0) AS new_artists_discovered,
+      any_value(tops.n) AS top_artist_plays, round(count(DISTINCT artist_slug)::DOUBLE / count(*), 4) AS fragmentation_score
+    FROM kept k LEFT JOIN firsts USING (ym) LEFT JOIN tops USING (ym) GROUP BY k.ym""",
+)
 def _(spark, d):
-    """Raw plays of both sources to the monthly summary: resolve, link, mark duplicates, aggregate."""
+    """Raw plays of both sources to the monthly summary: resolve, link, mark duplicates, aggregate. The top artist, an id
+    that SQL lacks, is left out; its plays are there."""
     built = refresh.resolve_and_link(t.raw_plays(spark, d))
     tables = refresh.analytics_tables(built["plays"], built["tracks"].withColumnRenamed("track_id", "id"))
-    return tables["monthly_summary"]
+    return tables["monthly_summary"].drop("top_artist_id")
 
 
-@query("dedupe_linked_plays")
+@query(
+    "dedupe_linked_plays",
+    f"""WITH RECURSIVE {LINKED_PLAYS},
+    sizes AS (SELECT cluster, count(*) - 1 AS merged, any_value(source) FILTER (place = 1) AS source FROM ranked GROUP BY cluster)
+    SELECT source, CAST(sum(merged) AS BIGINT) AS merged FROM sizes GROUP BY source UNION ALL SELECT 'all', count(*) FROM lp""",
+)
 def _(spark, d):
-    """Marks on plays that came through resolution and linking."""
-    plays = refresh.resolve_and_link(t.raw_plays(spark, d), None)["plays"]
+    """Merged plays by the source of the winner, for plays that came through resolution and linking."""
+    plays = refresh.resolve_and_link(t.raw_plays(spark, d))["plays"]
     return linkage.merge_winners(plays).unionByName(
         plays.groupBy(F.lit("all").alias("source")).agg(F.count("*").alias("merged"))
     )

@@ -11,21 +11,23 @@ from pyspark.sql import functions as F
 
 from tracklore.functions.text import squeeze
 from tracklore.operators.skew import first_per_key, salted_join
+from tracklore.sources.blocks import with_number
 
 MIN_SECONDS = 30
+# Flag per field that may be missing.
 METADATA_FIELDS = {
     "missing_track_name": "master_metadata_track_name",
     "missing_artist_name": "master_metadata_album_artist_name",
     "missing_album_name": "master_metadata_album_album_name",
     "missing_track_uri": "spotify_track_uri",
 }
-#: Text times beside ISO ones, tried in this order; of two numbers with slashes the first is the month.
-TEXT_TIME_FORMATS = [
-    "d MMM yyyy, HH:mm", "d MMM yyyy HH:mm[:ss]", "MMM d, yyyy h:mm[:ss] a", "MMM d, yyyy HH:mm[:ss]",
-    "yyyy/M/d HH:mm[:ss]", "M/d/yyyy HH:mm[:ss]", "yyyyMMdd'T'HHmmss",
-]
-ZONED_TIME_FORMATS = ["d MMM yyyy HH:mm:ss xx", "yyyyMMdd'T'HHmmssX"]
-WEEKDAY = r"^\s*(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
+#: Compact times, which have no separators to take apart.
+COMPACT_TIME_FORMATS = ["yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmmssX", "yyyyMMdd"]
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH_NAME = "(january|february|march|april|may|june|july|august|september|october|november|december|sept|" + "|".join(MONTHS) + r")\b\.?"
+WEEKDAY = r"\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tues|tue|wed|thurs|thur|thu|fri|sat|sun)\b\.?"
+CLOCK = r"\b(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(?:\s*([ap])\.?m\b\.?)?"
+ZONE = r"(?:\s*([+-])(\d{2}):?(\d{2})|\s*\b(z|utc|gmt))\s*$"
 SAMPLE_ROWS = 3
 
 
@@ -37,19 +39,81 @@ def utc_timestamp(text: Column | str) -> Column:
     return F.try_to_timestamp(text)
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def spelled_time(text: Column | str) -> Column:
+    """struct(time, offset): the time as written and seconds east of UTC or NULL, of a date in ordinary spelling; NULL
+    time if any part is not understood.
+
+    Weekday, clock, zone and month name are recognised wherever they stand and taken out; what is left must be the
+    numbers of the date. Beside a month name the number of four digits or above 31 is the year, the last one if there is
+    none. Three numbers are year, month, day if the first has four digits, else month, day, year, or day, month, year if
+    the first cannot be a month. Years of two digits are those from 1969 to 2068. A date without a clock is midnight.
+    """
+    lower = F.lower(F.col(text) if isinstance(text, str) else text)
+    # A letter between date and clock stands for a blank.
+    plain = F.regexp_replace(F.regexp_replace(lower, r"(\d)t(\d)", "$1 $2"), WEEKDAY, " ")
+    return _let(plain, lambda p: _let(F.struct(p.alias("p"), p.rlike(CLOCK).alias("timed")), _clock_apart))
+
+
+def _clock_apart(t: Column) -> Column:
+    plain, timed = t["p"], t["timed"]
+    date = F.when(timed, F.regexp_replace(F.regexp_replace(plain, ZONE, " "), CLOCK, " ")).otherwise(plain)
+    parts = F.struct(
+        plain.alias("plain"), timed.alias("timed"), date.alias("date"),
+        *(F.when(timed, F.regexp_extract(plain, CLOCK, i)).alias(name) for i, name in enumerate(("hour", "minute", "second", "fraction", "half"), 1)),
+        *(F.when(timed, F.regexp_extract(plain, ZONE, i)).alias(name) for i, name in enumerate(("sign", "hours", "minutes", "utc"), 1)),
+        F.substring(F.regexp_extract(date, r"(?<![a-z])" + MONTH_NAME, 1), 1, 3).alias("month"),
+        F.regexp_replace(F.regexp_replace(date, r"(?<![a-z])" + MONTH_NAME, " "), r"\b(\d{1,2})(?:st|nd|rd|th)\b|\b(?:of|at)\b", "$1 ").alias("rest"))
+    return _let(parts, lambda p: _let(F.regexp_extract_all(p["rest"], F.lit(r"\d+"), F.lit(0)), lambda digits: _time_of(p, digits)))
+
+
+def _time_of(t: Column, digits: Column) -> Column:
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), t["month"]), F.lit(0)).cast("int")
+    clean = t["rest"].rlike(r"^[\s,./-]*(?:\d{1,4}[\s,./-]*){2,3}$")
+    size = F.size(digits)
+
+    def number(i: int) -> Column:
+        return F.get(digits, F.lit(i)).try_cast("int")
+
+    def long(i: int) -> Column:
+        return F.length(F.get(digits, F.lit(i))) == 4
+
+    def year(i: int) -> Column:
+        return number(i) + F.when(long(i), 0).when(F.length(F.get(digits, F.lit(i))) <= 2, F.when(number(i) < 69, 2000).otherwise(1900))
+
+    first_year, day_first = long(0) | (number(0) > 31), number(0) > 12
+    named = F.struct(F.when(first_year, year(0)).otherwise(year(1)).alias("y"), month.alias("m"), F.when(first_year, number(1)).otherwise(number(0)).alias("d"))
+    ordered = F.struct(number(0).alias("y"), number(1).alias("m"), number(2).alias("d"))
+    placed = F.struct(year(2).alias("y"), F.when(day_first, number(1)).otherwise(number(0)).alias("m"),
+                      F.when(day_first, number(0)).otherwise(number(1)).alias("d"))
+    day = F.when(clean & month.isNotNull() & (size == 2), named).when(
+        clean & month.isNull() & (size == 3), F.when(long(0), ordered).otherwise(placed))
+    hour = t["hour"].try_cast("int")
+    hour = F.when(t["half"] == "", hour).when(hour.between(1, 12), hour % 12 + F.when(t["half"] == "p", 12).otherwise(0))
+    second = F.coalesce(F.nullif(t["second"], F.lit("")).try_cast("int"), F.lit(0)) + F.concat(F.lit("0."), t["fraction"], F.lit("0")).try_cast("decimal(16,6)")
+    clock = [F.when(t["timed"], x).otherwise(0) for x in (hour, t["minute"].try_cast("int"), second)]
+    east = (t["hours"].try_cast("long") * 3600 + t["minutes"].try_cast("long") * 60) * F.when(t["sign"] == "-", -1).otherwise(1)
+    offset = F.when(t["utc"] != "", F.lit(0).cast("long")).when(t["hours"] != "", east)
+    time = _let(day, lambda d: F.try_make_timestamp(d["y"], d["m"], d["d"], clock[0], clock[1], clock[2].cast("decimal(16,6)")))
+    return F.struct(time.alias("time"), offset.alias("offset"))
+
+
 def scrobble_timestamp(epoch: Column | str, text: Column | str, zone: str = "UTC") -> Column:
-    """Epoch seconds win; otherwise text, read in `zone` unless it carries an offset."""
+    """Epoch seconds win; otherwise text, read in `zone` unless it carries an offset. ISO times, compact ones, and dates
+    in ordinary spelling (`spelled_time`)."""
     text = F.col(text) if isinstance(text, str) else text
     epoch = F.col(epoch) if isinstance(epoch, str) else epoch
     zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})\s*$") & (text.contains(":") | text.rlike(r"^\s*\d{8}T"))
-    bare = F.trim(F.regexp_replace(text, WEEKDAY, ""))
-
-    def first_of(formats: list[str]) -> Column:
-        return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
-
-    return F.coalesce(
-        F.timestamp_seconds(epoch), F.when(zoned, first_of(ZONED_TIME_FORMATS)).otherwise(F.to_utc_timestamp(first_of(TEXT_TIME_FORMATS), zone))
-    )
+    # A clock alone would be a time of today.
+    known = F.coalesce(F.when(text.rlike(r"^\s*[+-]?\d{4}"), F.try_to_timestamp(text)), *[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in COMPACT_TIME_FORMATS])
+    read = _let(known, lambda k: F.when(zoned, k).otherwise(F.to_utc_timestamp(k, zone)))
+    spelled = _let(spelled_time(text), lambda s: F.when(
+        s["offset"].isNotNull(), F.timestamp_micros(F.unix_micros(s["time"]) - s["offset"] * 1_000_000)).otherwise(F.to_utc_timestamp(s["time"], zone)))
+    return F.coalesce(F.timestamp_seconds(epoch), read, spelled)
 
 
 def filled(text: Column | str) -> Column:
@@ -209,6 +273,22 @@ def positional_hash(rows: DataFrame) -> DataFrame:
     ).withColumn("raw_hash", F.sha2(F.concat_ws("|", "source_file", F.col("occurrence").cast("string"), "payload"), 256))
 
 
+def with_positional_hash(rows: DataFrame) -> DataFrame:
+    """Adds source_row, the number of each record in its file, and raw_hash of file, number and payload.
+
+    Only a re-read of the same file repeats a hash; equal rows of a file and of other files keep theirs apart. Numbers are
+    counts of the records before, added up over the blocks of a file, so no file has to fit into a task.
+    """
+    placed = rows.withColumns({"source_file": F.col("position.source_file"), "block": F.col("position.block"), "place": F.col("position.line")})
+    numbered = with_number(placed, "source_row").drop("block", "place")
+    return numbered.withColumn("raw_hash", F.sha2(F.concat_ws("|", "source_file", F.col("source_row").cast("string"), "payload"), 256))
+
+
+def new_scrobbles(hashed: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame:
+    """Rows of `with_positional_hash` whose hash is not stored yet: a second ingest of the same files adds nothing."""
+    return hashed if known_hashes is None else hashed.join(known_hashes.select("raw_hash"), "raw_hash", "left_anti")
+
+
 def scrobble_report(classified: DataFrame, drop: bool = True) -> DataFrame:
     """One row of counters."""
     per_key = classified.groupBy("row_status", "scrobble_key").agg(

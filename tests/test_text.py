@@ -100,3 +100,13 @@ def test_week_label_follows_monday_weeks(spark):
 
 def test_hours_of_nothing(spark):
     assert spark.range(1).select(timeparts.ms_to_hours(F.lit(None).cast("bigint")).alias("h")).first()["h"] == 0.0
+
+
+def test_slugs_of_other_scripts(spark):
+    names = {
+        "Кино": "kino", "Земфира": "zemfira", "Щука Ёж": "shchuka-iozh", "Объект": "obekt", "ЮЛИЯ": "iuliia", "Вопли Видоплясова": "vopli-vidopliasova",
+        "Βαγγέλης": "baggelis", "Ψυχή": "psychi", "ΘΕΟΣ": "theos", "さくら": "sakura", "サクラ": "sakura", "きゃりーぱみゅぱみゅ": "kyaripamyupamyu",
+        "ジャズ": "jazu", "ロック": "rokku", "ファイル": "fairu", "ちょっと": "chotto", "Björk": "bjork", "東京": "",
+    }
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.slug("n").alias("s"))
+    assert {r.n: r.s for r in rows.collect()} == names

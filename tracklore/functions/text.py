@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -61,6 +62,12 @@ def _col(value: Column | str) -> Column:
 BLANKS = " \t\n\r\x0b\x0c"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+
 def strip(value: Column | str) -> Column:
     return F.btrim(_col(value), F.lit(BLANKS))
 
@@ -150,10 +157,77 @@ EXTRA_FOLDING = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ
 EXTRA_SINGLE = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ł": "L", "ł": "l", "ı": "i", "Ð": "D", "ð": "d"}
 LATIN_SOURCE, LATIN_TARGET = _latin_folding()
 
+# Common Latin spellings of Cyrillic and Greek letters (capitals follow from them), and of kana syllables.
+CYRILLIC = dict(zip("абвгдезийклмнопрстуфхыэ", "abvgdeziiklmnoprstufkye")) | {
+    "й": "i", "х": "kh", "ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "ъ": "", "ь": "",
+    "є": "ie", "і": "i", "ї": "i", "ґ": "g", "ў": "u", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz",
+}
+GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυφω", "abgdeziiklmnxoprsstyfo")) | {"η": "i", "θ": "th", "χ": "ch", "ψ": "ps"}
+KANA_ROWS = {
+    "": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも",
+    "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ",
+}
+KANA = {"や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "ゐ": "i", "ゑ": "e", "を": "o", "ん": "n", "ゔ": "vu"}
+IRREGULAR_KANA = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu"}
+
+
+def _kana() -> dict[str, str]:
+    """Hiragana and katakana syllables; the syllable before a small ya, yu, yo or vowel loses its own vowel to it."""
+    single = {c: row + vowel for row, letters in KANA_ROWS.items() for c, vowel in zip(letters, "aiueo")} | KANA | IRREGULAR_KANA
+    table = {}
+    for c, sound in single.items():
+        if sound.endswith("i") and len(sound) > 1:
+            for small, glide in zip("ゃゅょ", ("a", "u", "o")):
+                table[c + small] = sound[:-1] + ("" if sound in ("shi", "chi", "ji") else "y") + glide
+        for small, vowel in zip("ぁぃぅぇぉ", "aiueo"):
+            if sound in ("fu", "vu", "te", "de", "u", "shi", "chi", "ji", "tsu"):
+                table[c + small] = {"u": "w"}.get(sound, sound.rstrip("aiueo")) + vowel
+    table |= single | dict(zip("ぁぃぅぇぉゃゅょゎ", ("a", "i", "u", "e", "o", "ya", "yu", "yo", "wa")))
+    return table | {"".join(chr(ord(c) + 0x60) for c in kana): sound for kana, sound in table.items()}
+
+
+SMALL_KANA = "ぁぃぅぇぉゃゅょゎァィゥェォャュョヮ"
+TOKEN = rf"(?s)[ぁ-ヺ][{SMALL_KANA}]?|."
+
+
+def _spellings() -> Column:
+    """The tables as one map, shallow however many letters it has."""
+    letters = CYRILLIC | GREEK
+    letters |= {c.upper(): sound.capitalize() for c, sound in letters.items() if c.upper() != c and len(c.upper()) == 1}
+    table = letters | _kana()
+    return F.map_from_arrays(F.split(F.lit(" ".join(table)), " "), F.split(F.lit(" ".join(table.values())), " "))
+
+
+def transliterate(value: Column | str) -> Column:
+    """Cyrillic, Greek and kana in Latin letters, letter by letter; a small tsu doubles what follows, a bar is left out."""
+    def spelled(text: Column) -> Column:
+        bare = F.regexp_replace(F.translate(text, *_accented_greek()), "ー", "")
+        return let(_spellings(), lambda table: F.array_join(F.transform(
+            F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0)),
+            lambda t: F.coalesce(
+                F.try_element_at(table, t),
+                # Two syllables that make no sound together.
+                F.concat(F.try_element_at(table, F.substring(t, 1, 1)), F.try_element_at(table, F.substring(t, 2, 1))), t)), ""))
+
+    def latin(text: Column) -> Column:
+        doubled = F.regexp_replace(F.regexp_replace(spelled(text), "[っッ]([a-z])", "$1$1"), "[っッ]", "")
+        return F.when(text.rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsHiragana}\p{IsKatakana}]"), doubled).otherwise(text)
+
+    return let(_col(value), latin)
+
+
+def _accented_greek() -> tuple[str, str]:
+    """Accented Greek letters and their bare forms, by Unicode decomposition."""
+    pairs = [(chr(code), unicodedata.normalize("NFD", chr(code))[0]) for code in [*range(0x386, 0x3CF), *range(0x1F00, 0x2000)]]
+    pairs = [(c, base) for c, base in pairs if c != base and "Α" <= base <= "ω"]
+    return "".join(c for c, _b in pairs), "".join(b for _c, b in pairs)
+
+
+
 
 def ascii_fold(value: Column | str) -> Column:
     folded = F.translate(
-        _col(value), LATIN_SOURCE + "".join(EXTRA_SINGLE), LATIN_TARGET + "".join(EXTRA_SINGLE.values())
+        transliterate(value), LATIN_SOURCE + "".join(EXTRA_SINGLE), LATIN_TARGET + "".join(EXTRA_SINGLE.values())
     )
     for letter, replacement in EXTRA_FOLDING.items():
         folded = F.replace(folded, F.lit(letter), F.lit(replacement))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklore.functions.text import squeeze
+from tracklore.functions.text import let, squeeze
 from tracklore.operators.skew import first_per_key, salted_join
 from tracklore.sources.blocks import with_number
 
@@ -39,11 +39,6 @@ def utc_timestamp(text: Column | str) -> Column:
     return F.try_to_timestamp(text)
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def spelled_time(text: Column | str) -> Column:
     """struct(time, offset): the time as written and seconds east of UTC or NULL, of a date in ordinary spelling; NULL
     time if any part is not understood.
@@ -56,7 +51,7 @@ def spelled_time(text: Column | str) -> Column:
     lower = F.lower(F.col(text) if isinstance(text, str) else text)
     # A letter between date and clock stands for a blank.
     plain = F.regexp_replace(F.regexp_replace(lower, r"(\d)t(\d)", "$1 $2"), WEEKDAY, " ")
-    return _let(plain, lambda p: _let(F.struct(p.alias("p"), p.rlike(CLOCK).alias("timed")), _clock_apart))
+    return let(plain, lambda p: let(F.struct(p.alias("p"), p.rlike(CLOCK).alias("timed")), _clock_apart))
 
 
 def _clock_apart(t: Column) -> Column:
@@ -68,7 +63,7 @@ def _clock_apart(t: Column) -> Column:
         *(F.when(timed, F.regexp_extract(plain, ZONE, i)).alias(name) for i, name in enumerate(("sign", "hours", "minutes", "utc"), 1)),
         F.substring(F.regexp_extract(date, r"(?<![a-z])" + MONTH_NAME, 1), 1, 3).alias("month"),
         F.regexp_replace(F.regexp_replace(date, r"(?<![a-z])" + MONTH_NAME, " "), r"\b(\d{1,2})(?:st|nd|rd|th)\b|\b(?:of|at)\b", "$1 ").alias("rest"))
-    return _let(parts, lambda p: _let(F.regexp_extract_all(p["rest"], F.lit(r"\d+"), F.lit(0)), lambda digits: _time_of(p, digits)))
+    return let(parts, lambda p: let(F.regexp_extract_all(p["rest"], F.lit(r"\d+"), F.lit(0)), lambda digits: _time_of(p, digits)))
 
 
 def _time_of(t: Column, digits: Column) -> Column:
@@ -98,7 +93,7 @@ def _time_of(t: Column, digits: Column) -> Column:
     clock = [F.when(t["timed"], x).otherwise(0) for x in (hour, t["minute"].try_cast("int"), second)]
     east = (t["hours"].try_cast("long") * 3600 + t["minutes"].try_cast("long") * 60) * F.when(t["sign"] == "-", -1).otherwise(1)
     offset = F.when(t["utc"] != "", F.lit(0).cast("long")).when(t["hours"] != "", east)
-    time = _let(day, lambda d: F.try_make_timestamp(d["y"], d["m"], d["d"], clock[0], clock[1], clock[2].cast("decimal(16,6)")))
+    time = let(day, lambda d: F.try_make_timestamp(d["y"], d["m"], d["d"], clock[0], clock[1], clock[2].cast("decimal(16,6)")))
     return F.struct(time.alias("time"), offset.alias("offset"))
 
 
@@ -110,8 +105,8 @@ def scrobble_timestamp(epoch: Column | str, text: Column | str, zone: str = "UTC
     zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})\s*$") & (text.contains(":") | text.rlike(r"^\s*\d{8}T"))
     # A clock alone would be a time of today.
     known = F.coalesce(F.when(text.rlike(r"^\s*[+-]?\d{4}"), F.try_to_timestamp(text)), *[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in COMPACT_TIME_FORMATS])
-    read = _let(known, lambda k: F.when(zoned, k).otherwise(F.to_utc_timestamp(k, zone)))
-    spelled = _let(spelled_time(text), lambda s: F.when(
+    read = let(known, lambda k: F.when(zoned, k).otherwise(F.to_utc_timestamp(k, zone)))
+    spelled = let(spelled_time(text), lambda s: F.when(
         s["offset"].isNotNull(), F.timestamp_micros(F.unix_micros(s["time"]) - s["offset"] * 1_000_000)).otherwise(F.to_utc_timestamp(s["time"], zone)))
     return F.coalesce(F.timestamp_seconds(epoch), read, spelled)
 

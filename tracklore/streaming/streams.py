@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tracklore.operators.skew import first_per_key
-from tracklore.session import exists
-
 LATE = "1 hour"
 SESSION_GAP = "1 hour"
 
@@ -25,19 +25,35 @@ def _run(writer: DataStreamWriter, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+#: State in files beside the heap, written as changes: a batch loads and writes the keys it meets, not all of them.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Settings for a query that starts within; a checkpoint keeps those it was begun with."""
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    try:
+        for key, value in STATE_STORE.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def stream_ingest(rows: DataFrame, store: str, checkpoint: str) -> None:
-    """Append rows whose `raw_hash` is not stored yet; a replayed batch adds nothing."""
-    def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        order = [F.col("source_file"), F.col("source_row")]
-        fresh = first_per_key(batch, ["raw_hash"], order)
-        if exists(spark, store):  # the first batch finds no store yet
-            known = spark.read.parquet(store).where(F.col("batch_id") < batch_id).select("raw_hash")
-            fresh = fresh.join(known, "raw_hash", "left_anti")
-        # Each batch owns its folder, so a retry replaces what it wrote before.
-        fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-
-    _run(rows.writeStream.foreachBatch(append), checkpoint)
+    """Append rows whose `raw_hash` has not been stored yet; one of several new rows with the same hash.
+
+    The hashes are keyed state, spread over the shuffle partitions of the first run: a batch looks up its own hashes only,
+    however many were stored before, and never reads the store. State, offsets and the sink's log are one transaction per
+    batch, so a run that fails and starts again from the checkpoint adds each hash once.
+    """
+    with _state_store(rows.sparkSession):
+        append_parquet(rows.dropDuplicates(["raw_hash"]), store, checkpoint)
 
 
 def hourly_counts(events: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:

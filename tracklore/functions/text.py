@@ -227,7 +227,7 @@ def _accented_greek() -> tuple[str, str]:
 
 def ascii_fold(value: Column | str) -> Column:
     folded = F.translate(
-        transliterate(value), LATIN_SOURCE + "".join(EXTRA_SINGLE), LATIN_TARGET + "".join(EXTRA_SINGLE.values())
+        _col(value), LATIN_SOURCE + "".join(EXTRA_SINGLE), LATIN_TARGET + "".join(EXTRA_SINGLE.values())
     )
     for letter, replacement in EXTRA_FOLDING.items():
         folded = F.replace(folded, F.lit(letter), F.lit(replacement))
@@ -236,7 +236,7 @@ def ascii_fold(value: Column | str) -> Column:
 
 def slug(value: Column | str) -> Column:
     """Lower-case ASCII words joined by '-'; thousands separators vanish."""
-    plain = F.regexp_replace(F.lower(ascii_fold(value)), r"(?<=\d),(?=\d)", "")
+    plain = F.regexp_replace(F.lower(ascii_fold(transliterate(value))), r"(?<=\d),(?=\d)", "")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tracklore.catalog import names
 from tracklore.catalog import tables as t
 from tracklore.catalog.ingest import FIRST, HISTORY, _payloads
-from tracklore.catalog.metrics import MONTHLY_SUMMARY, ARTIST_BASIC, MONTHLY, DAILY, TIER, WITH_ORDERS
+from tracklore.catalog.metrics import (
+    ALBUM_BASIC, ARTIST_ANALYTICS, CONTEXT, DAILY, GEO, HOURLY, MONTHLY_SUMMARY, SLEEPERS, TRACK_BASIC, TRACK_YEARLY, WEEKDAY,
+    WITH_ORDERS,
+)
 from tracklore.catalog.registry import query
 from tracklore.operators import ingest, linkage
 from tracklore.plans import refresh
@@ -75,28 +78,77 @@ def _(spark, d):
     return spark.read.parquet(sink).select(*keys)
 
 
-def _store(spark, d):
-    """Plays before 2001 loaded and computed at once, the rest through an incremental refresh."""
+SPLIT = "timestamp_ntz '2001-01-15 00:00:00'"
+
+
+def _refreshed(spark, d, table):
+    """Two batches, the later one first; they meet within a month."""
     store = scratch_path(spark, "store")
-    plays = t.order_plays(spark, d)
-    refresh.store_plays(plays.where("ts < timestamp_ntz '2001-01-15 00:00:00'"), store)
-    refresh.full_refresh(spark, store)
-    refresh.incremental_refresh(plays.where("ts >= timestamp_ntz '2001-01-15 00:00:00'"), store)
-    return store
+    plays = t.order_plays(spark, d, places=table == "geographic_analytics")
+    for batch, rows in (("late", f"ts >= {SPLIT}"), ("early", f"ts < {SPLIT}")):
+        refresh.incremental_refresh(plays.where(rows), store, batch, [table], buckets=8)
+    return refresh.read_table(spark, store, table, t.tracks(spark, d))
 
 
 @query("incremental_refresh", f"{WITH_ORDERS},{MONTHLY_SUMMARY} SELECT * FROM monthly_summary")
 def _(spark, d):
-    return refresh.read_monthly_summary(spark, _store(spark, d))
+    return _refreshed(spark, d, "monthly_summary")
+
+
+@query("incremental_refresh_artists", f"{WITH_ORDERS},{ARTIST_ANALYTICS} SELECT * FROM artist_analytics")
+def _(spark, d):
+    return _refreshed(spark, d, "artist_analytics")
+
+
+@query(
+    "incremental_refresh_tracks",
+    f"""{WITH_ORDERS},{TRACK_YEARLY},{SLEEPERS},{TRACK_BASIC}
+    SELECT * FROM track_basic LEFT JOIN sleepers USING (track_id)""",
+)
+def _(spark, d):
+    return _refreshed(spark, d, "track_analytics")
+
+
+HOUR_SESSIONS = f"""
+hs AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY album_id ORDER BY ts) > 3600000000
+                      THEN 1 ELSE 0 END AS b FROM clean WHERE album_id IS NOT NULL),
+hn AS (SELECT album_id, track_id, sum(b) OVER (PARTITION BY album_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM hs),
+hd AS (SELECT album_id, sid, count(DISTINCT coalesce(track_id, -1)) AS n FROM hn GROUP BY ALL),
+sizes AS (SELECT album_id, count(*) AS tracks FROM dim_tracks WHERE album_id IS NOT NULL GROUP BY 1),
+complete AS (SELECT album_id, count(*) AS c FROM hd JOIN sizes USING (album_id) WHERE 5 * n >= 4 * tracks GROUP BY 1),
+rates AS (SELECT album_id, CASE WHEN coalesce(tracks, 0) < 3 OR total_plays < tracks THEN 0.0::DOUBLE
+    ELSE round(coalesce(c, 0)::DOUBLE / greatest(total_plays // tracks, 1), 3) END AS completion_rate
+    FROM album_basic LEFT JOIN sizes USING (album_id) LEFT JOIN complete USING (album_id))"""
 
 
 @query(
-    "incremental_refresh_artists",
-    f"""{WITH_ORDERS},{ARTIST_BASIC},{MONTHLY},{DAILY},{TIER} SELECT artist_id, first_play_date, last_play_date, total_plays,
-    total_duration_ms, unique_tracks_played, loyalty_tier FROM artist_basic LEFT JOIN tier USING (artist_id)""",
+    "incremental_refresh_albums",
+    f"""{WITH_ORDERS},{ALBUM_BASIC},dim_tracks AS (WITH {t.DIMENSIONS} SELECT * FROM tracks),{HOUR_SESSIONS}
+    SELECT * FROM album_basic LEFT JOIN rates USING (album_id)""",
 )
 def _(spark, d):
-    return spark.read.parquet(f"{_store(spark, d)}/artist_measures").drop("bucket")
+    """Sessions with the usual pause of one hour."""
+    return _refreshed(spark, d, "album_analytics")
+
+
+@query("incremental_refresh_hours", f"{WITH_ORDERS},{HOURLY} SELECT * FROM hourly")
+def _(spark, d):
+    return _refreshed(spark, d, "hourly_distribution")
+
+
+@query("incremental_refresh_weekdays", f"{WITH_ORDERS},{WEEKDAY} SELECT * FROM weekday")
+def _(spark, d):
+    return _refreshed(spark, d, "weekday_distribution")
+
+
+@query("incremental_refresh_context", f"{WITH_ORDERS},{DAILY},{CONTEXT} SELECT * FROM context")
+def _(spark, d):
+    return _refreshed(spark, d, "discovery_context")
+
+
+@query("incremental_refresh_places", f"{WITH_ORDERS},{GEO} SELECT * FROM geo")
+def _(spark, d):
+    return _refreshed(spark, d, "geographic_analytics")
 
 
 # Plays that came through resolution with fuzzy names and linking, and their clusters: ids are (source, record_id).

@@ -40,11 +40,10 @@ def _total(column: str) -> Column:
 # --- basics ------------------------------------------------------------------------------
 
 
-def entity_basic(plays: DataFrame, entity: str) -> DataFrame:
-    """First and last day, plays, milliseconds and distinct tracks per artist or album."""
-    per_track = (
+def entity_tracks(plays: DataFrame, entity: str) -> DataFrame:
+    """First and last day, plays and milliseconds per (artist or album, track)."""
+    return (
         clean(plays)
-        .where(F.col(entity).isNotNull())
         .groupBy(entity, "track_id")
         .agg(
             F.min(day()).alias("first_play_date"),
@@ -53,6 +52,14 @@ def entity_basic(plays: DataFrame, entity: str) -> DataFrame:
             F.sum(effective_ms()).alias("total_duration_ms"),
         )
     )
+
+
+def entity_basic(plays: DataFrame, entity: str) -> DataFrame:
+    """First and last day, plays, milliseconds and distinct tracks per artist or album."""
+    return _entity_totals(entity_tracks(plays.where(F.col(entity).isNotNull()), entity), entity)
+
+
+def _entity_totals(per_track: DataFrame, entity: str) -> DataFrame:
     return per_track.groupBy(entity).agg(
         F.min("first_play_date").alias("first_play_date"),
         F.max("last_play_date").alias("last_play_date"),
@@ -63,24 +70,38 @@ def entity_basic(plays: DataFrame, entity: str) -> DataFrame:
 
 
 def artist_basic(plays: DataFrame, as_of: Column | None = None) -> DataFrame:
-    today = latest_day(plays) if as_of is None else as_of
-    return entity_basic(plays, "artist_id").withColumn("days_since_last_play", F.datediff(today, "last_play_date"))
+    """The last day comes from the same aggregate, so the fact is read once; plays without an artist count for it."""
+    tracks = entity_tracks(plays, "artist_id")
+    if as_of is None:
+        tracks = cut_lineage(tracks)
+        as_of = tracks.agg(F.max("last_play_date").alias("d")).scalar()
+    basic = _entity_totals(tracks.where("artist_id is not null"), "artist_id")
+    return basic.withColumn("days_since_last_play", F.datediff(as_of, "last_play_date"))
 
 
 def album_basic(plays: DataFrame) -> DataFrame:
     return entity_basic(plays, "album_id")
 
 
-def track_basic(plays: DataFrame) -> DataFrame:
+def album_totals(album_tracks: DataFrame) -> DataFrame:
+    """`album_basic` from (album, track) counts."""
+    return _entity_totals(album_tracks.where("album_id is not null"), "album_id")
+
+
+DAYPARTS = ("morning_plays", "afternoon_plays", "evening_plays", "night_plays")
+
+
+def track_years(plays: DataFrame) -> DataFrame:
+    """First and last day, plays, milliseconds and plays by part of the day per (track, year)."""
     h = hour()
     return (
         clean(plays)
-        .where(F.col("track_id").isNotNull())
-        .groupBy("track_id")
+        .where("track_id is not null")
+        .groupBy("track_id", F.year("ts").alias("year"))
         .agg(
             F.min(day()).alias("first_play_date"),
             F.max(day()).alias("last_play_date"),
-            F.count("*").alias("total_plays"),
+            F.count("*").alias("plays"),
             F.sum(effective_ms()).alias("total_duration_ms"),
             F.count_if(h.between(6, 11)).alias("morning_plays"),
             F.count_if(h.between(12, 17)).alias("afternoon_plays"),
@@ -90,6 +111,20 @@ def track_basic(plays: DataFrame) -> DataFrame:
     )
 
 
+def _year_totals() -> list[Column]:
+    return [
+        F.min("first_play_date").alias("first_play_date"),
+        F.max("last_play_date").alias("last_play_date"),
+        _total("plays").alias("total_plays"),
+        _total("total_duration_ms").alias("total_duration_ms"),
+        *[_total(part).alias(part) for part in DAYPARTS],
+    ]
+
+
+def track_basic(plays: DataFrame) -> DataFrame:
+    return track_years(plays).groupBy("track_id").agg(*_year_totals())
+
+
 # --- per-period counts -------------------------------------------------------------------
 
 
@@ -215,13 +250,22 @@ def artist_analytics(plays: DataFrame, as_of: Column | None = None) -> DataFrame
     every branch wants other columns of them and Spark would otherwise read the fact again for each.
     """
     today = latest_day(plays) if as_of is None else as_of
-    known = clean(plays).where("artist_id is not null")
-    daily = cut_lineage(
-        known.groupBy("artist_id", day().alias("play_date")).agg(
-            F.count("*").alias("plays"), F.sum(effective_ms()).alias("duration_ms")
-        )
+    measures = artist_measures(cut_lineage(artist_days(plays)), cut_lineage(artist_track_counts(plays)))
+    return measures.withColumn("days_since_last_play", F.datediff(today, "last_play_date"))
+
+
+def artist_days(plays: DataFrame) -> DataFrame:
+    """Plays and milliseconds per (artist, day)."""
+    return (
+        clean(plays)
+        .where("artist_id is not null")
+        .groupBy("artist_id", day().alias("play_date"))
+        .agg(F.count("*").alias("plays"), F.sum(effective_ms()).alias("duration_ms"))
     )
-    tracks = cut_lineage(artist_track_counts(plays))
+
+
+def artist_measures(daily: DataFrame, tracks: DataFrame) -> DataFrame:
+    """All artist measures that do not depend on today, from (artist, day) and (artist, track) counts."""
     monthly = daily.groupBy("artist_id", F.date_format("play_date", "yyyy-MM").alias("year_month")).agg(
         _total("plays").alias("plays")
     )
@@ -232,9 +276,7 @@ def artist_analytics(plays: DataFrame, as_of: Column | None = None) -> DataFrame
         _total("duration_ms").alias("total_duration_ms"),
     )
     distinct_tracks = tracks.groupBy("artist_id").agg(F.count("*").alias("unique_tracks_played"))
-    result = basic.join(distinct_tracks, "artist_id", "left").withColumn(
-        "days_since_last_play", F.datediff(today, "last_play_date")
-    )
+    result = basic.join(distinct_tracks, "artist_id", "left")
     for part in (
         peak_period(monthly),
         binge_score(daily),
@@ -284,17 +326,26 @@ def album_sessions(plays: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) ->
     maxima then place every session break, and the ordering window sees one row per album and slot, however many
     plays an album has.
     """
-    gap = gap_seconds * 1_000_000
-    slots = (
+    return slot_sessions(album_slots(plays, gap_seconds), gap_seconds)
+
+
+def album_slots(plays: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """First and last microsecond and plays per (album, time slot, track); a track that is not known counts as one."""
+    slot = F.floor(F.col("us") / (gap_seconds * 1_000_000)).alias("slot")
+    return (
         clean(plays)
         .where("album_id is not null")
         .select("album_id", F.coalesce("track_id", F.lit(-1)).alias("track_id"), micros().alias("us"))
-        .groupBy("album_id", F.floor(F.col("us") / gap).alias("slot"), "track_id")
-        .agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+        .groupBy("album_id", slot, "track_id")
+        .agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("plays"))
     )
+
+
+def slot_sessions(slots: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """`album_sessions` from slots as wide as the gap."""
     bounds = slots.groupBy("album_id", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     by_time = W.Window.partitionBy("album_id").orderBy("slot")
-    starts = (F.col("lo") - F.lag("hi").over(by_time) > gap).cast("int")
+    starts = (F.col("lo") - F.lag("hi").over(by_time) > gap_seconds * 1_000_000).cast("int")
     numbered = bounds.withColumn("starts", F.coalesce(starts, F.lit(0))).select(
         "album_id", "slot", F.sum("starts").over(by_time).alias("session_no")
     )
@@ -308,17 +359,26 @@ def album_sessions(plays: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) ->
     )
 
 
+def session_sizes(sessions: DataFrame) -> DataFrame:
+    """Sessions of an album by how many of its tracks they hold."""
+    return sessions.groupBy("album_id", "distinct_tracks").agg(F.count("*").alias("sessions"))
+
+
 def completion_rate(plays: DataFrame, track_counts: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
     """Sessions covering at least 80 % of the album over the number of full listens its plays allow."""
-    totals = clean(plays).where("album_id is not null").groupBy("album_id").agg(F.count("*").alias("plays"))
+    slots = cut_lineage(album_slots(plays, gap_seconds))  # totals and sessions both come from the slots
+    totals = slots.groupBy("album_id").agg(_total("plays").alias("plays"))
+    return completion_share(totals, session_sizes(slot_sessions(slots, gap_seconds)), track_counts)
+
+
+def completion_share(totals: DataFrame, sized: DataFrame, track_counts: DataFrame) -> DataFrame:
+    """`completion_rate` from (album, plays) and the sizes of its sessions."""
     sizes = track_counts.select("album_id", "track_count")
-    # Join per-session counts with album sizes after both are aggregated.
     complete = (
-        album_sessions(plays, gap_seconds)
-        .join(sizes, "album_id")
+        sized.join(sizes, "album_id")
         .where(5 * F.col("distinct_tracks") >= 4 * F.col("track_count"))
         .groupBy("album_id")
-        .agg(F.count("*").alias("completed"))
+        .agg(F.sum("sessions").alias("completed"))
     )
     known = totals.join(sizes, "album_id", "left").join(complete, "album_id", "left")
     tracks, done = F.coalesce("track_count", F.lit(0)), F.coalesce("completed", F.lit(0))
@@ -334,18 +394,31 @@ def album_analytics(plays: DataFrame, tracks: DataFrame, gap_seconds: int = SESS
 # --- tracks ------------------------------------------------------------------------------
 
 
-def sleepers(yearly: DataFrame) -> DataFrame:
-    """Played at least ten times over two or more years, no year above 2.5 times or below 0.3 of the mean."""
-    years = yearly.groupBy("track_id").agg(
+def _spread() -> list[Column]:
+    return [
         F.count("*").alias("n"), F.sum("plays").alias("s"), F.max("plays").alias("hi"), F.min("plays").alias("lo")
-    )
+    ]
+
+
+def _is_sleeper() -> Column:
     n, s = F.col("n"), F.col("s")
     even = (2 * F.col("hi") * n < 5 * s) & (10 * F.col("lo") * n >= 3 * s)
-    return years.select("track_id", ((s >= SLEEPER_MIN_PLAYS) & (n >= 2) & even).alias("is_sleeper"))
+    return ((s >= SLEEPER_MIN_PLAYS) & (n >= 2) & even).alias("is_sleeper")
+
+
+def sleepers(yearly: DataFrame) -> DataFrame:
+    """Played at least ten times over two or more years, no year above 2.5 times or below 0.3 of the mean."""
+    return yearly.groupBy("track_id").agg(*_spread()).select("track_id", _is_sleeper())
 
 
 def track_analytics(plays: DataFrame) -> DataFrame:
-    return track_basic(plays).join(sleepers(track_yearly(plays)), "track_id", "left")
+    return track_measures(track_years(plays))
+
+
+def track_measures(years: DataFrame) -> DataFrame:
+    """`track_analytics` from (track, year) counts: totals and spread in one aggregate."""
+    rows = years.groupBy("track_id").agg(*_year_totals(), *_spread())
+    return rows.withColumn("is_sleeper", _is_sleeper()).drop("n", "s", "hi", "lo")
 
 
 # --- time patterns -----------------------------------------------------------------------
@@ -374,66 +447,80 @@ def monthly_top_artist(monthly: DataFrame) -> DataFrame:
     )
 
 
-def monthly_summary(plays: DataFrame) -> DataFrame:
-    """Totals, distinct entities, discoveries, top artist and fragmentation per month.
-
-    Plays collapse to (month, artist, album, track) first; the three distinct counts then expand that aggregate
-    instead of the fact.
-    """
-    combos = (
+def month_entities(plays: DataFrame) -> DataFrame:
+    """Plays and milliseconds per (month, artist, album, track)."""
+    return (
         clean(plays)
         .groupBy(year_month().alias("year_month"), "artist_id", "album_id", "track_id")
         .agg(F.count("*").alias("plays"), F.sum(effective_ms()).alias("ms"))
     )
-    totals = combos.groupBy("year_month").agg(
+
+
+def month_totals(entities: DataFrame) -> DataFrame:
+    """Totals, distinct entities, top artist and fragmentation per month, from `month_entities`."""
+    totals = entities.groupBy("year_month").agg(
         _total("plays").alias("total_plays"),
         _total("ms").alias("total_duration_ms"),
         F.count_distinct("artist_id").alias("unique_artists"),
         F.count_distinct("album_id").alias("unique_albums"),
         F.count_distinct("track_id").alias("unique_tracks"),
     )
-    per_artist = (
-        combos.where("artist_id is not null").groupBy("year_month", "artist_id").agg(F.sum("plays").alias("plays"))
+    return totals.join(monthly_top_artist(_month_artists(entities)), "year_month", "left").withColumn(
+        "fragmentation_score", F.round(F.col("unique_artists") / F.col("total_plays"), 4)
     )
-    firsts = (
-        per_artist.groupBy("artist_id")
-        .agg(F.min("year_month").alias("year_month"))
-        .groupBy("year_month")
-        .agg(F.count("*").alias("new_artists_discovered"))
-    )
-    return (
-        totals.join(firsts, "year_month", "left")
-        .join(monthly_top_artist(per_artist), "year_month", "left")
-        .select(
-            "year_month",
-            "total_plays",
-            "total_duration_ms",
-            "unique_artists",
-            "unique_albums",
-            "unique_tracks",
-            F.coalesce("new_artists_discovered", F.lit(0)).cast("bigint").alias("new_artists_discovered"),
-            "top_artist_id",
-            "top_artist_plays",
-            F.round(F.col("unique_artists") / F.col("total_plays"), 4).alias("fragmentation_score"),
-        )
+
+
+def _month_artists(entities: DataFrame) -> DataFrame:
+    known = entities.where("artist_id is not null")
+    return known.groupBy("year_month", "artist_id").agg(F.sum("plays").alias("plays"))
+
+
+def with_discoveries(months: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Adds the artists whose first month it is; `firsts` has one year_month per artist."""
+    found = firsts.groupBy("year_month").agg(F.count("*").alias("new_artists_discovered"))
+    number = F.coalesce("new_artists_discovered", F.lit(0)).cast("bigint").alias("new_artists_discovered")
+    return months.join(found, "year_month", "left").select(
+        "year_month", "total_plays", "total_duration_ms", "unique_artists", "unique_albums", "unique_tracks", number,
+        "top_artist_id", "top_artist_plays", "fragmentation_score",
     )
 
 
+def monthly_summary(plays: DataFrame) -> DataFrame:
+    """Totals, distinct entities, discoveries, top artist and fragmentation per month.
+
+    Plays collapse to (month, artist, album, track) once; what follows reads that stored aggregate, not the fact.
+    """
+    entities = cut_lineage(month_entities(plays))
+    firsts = entities.where("artist_id is not null").groupBy("artist_id").agg(F.min("year_month").alias("year_month"))
+    return with_discoveries(month_totals(entities), firsts)
+
+
+def day_hours(plays: DataFrame) -> DataFrame:
+    """Plays per (day, hour); as many rows as the calendar has hours."""
+    return clean(plays).groupBy(day().alias("d"), hour().alias("hour")).agg(F.count("*").alias("plays"))
+
+
 def hourly_distribution(plays: DataFrame) -> DataFrame:
-    per_day = clean(plays).groupBy(day().alias("d"), hour().alias("hour")).agg(F.count("*").alias("plays"))
-    days = clean(plays).agg(F.count_distinct(day()).alias("n")).scalar()
+    return hours_of(cut_lineage(day_hours(plays)))
+
+
+def hours_of(per_hour: DataFrame) -> DataFrame:
+    days = per_hour.agg(F.count_distinct("d").alias("n")).scalar()
     return (
-        per_day.groupBy("hour")
+        per_hour.groupBy("hour")
         .agg(_total("plays").alias("total_plays"))
         .withColumn("avg_plays_per_day", F.round(F.col("total_plays") / days, 3))
     )
 
 
 def weekday_distribution(plays: DataFrame) -> DataFrame:
-    per_day = clean(plays).groupBy(day().alias("d")).agg(F.count("*").alias("plays"))
-    weeks = per_day.agg(F.count_distinct(week_label("d")).alias("n")).scalar()
+    return weekdays_of(cut_lineage(day_hours(plays)))
+
+
+def weekdays_of(per_hour: DataFrame) -> DataFrame:
+    weeks = per_hour.agg(F.count_distinct(week_label("d")).alias("n")).scalar()
     return (
-        per_day.groupBy(weekday("d").alias("weekday"))
+        per_hour.groupBy(weekday("d").alias("weekday"))
         .agg(_total("plays").alias("total_plays"))
         .withColumn("avg_plays_per_week", F.round(F.col("total_plays") / weeks, 3))
     )

@@ -258,6 +258,24 @@ def test_minimum_cut_equals_brute_force():
         assert total([side[x] for x in nodes]) == pytest.approx(best)
 
 
+@pytest.mark.parametrize(
+    ("name", "kept"),
+    [("post category-legal", True), ("post tag-privacy", True), ("post type-post category-social", True),
+     ("entry story-promoted", True), ("comment-body", False), ("post-comments", False), ("promo", False)],
+)
+def test_names_of_an_article(name, kept):
+    para = "This is a long paragraph, with many words in it, that goes on for a while and says something."
+    page = f'<body><article class="{name}"><h2>Head line</h2>' + f"<p>{para}</p>" * 5 + "</article></body>"
+    assert html_cut.main_text(page) == ("Head line " + " ".join([para] * 5) if kept else "")
+
+
+def test_bad_nesting_takes_no_walks():
+    start = time.time()
+    for page in ("<div>" * 20000 + "</b>" * 20000 + "x", "<b>" * 20000 + "</section>" * 20000 + "x", "<b>" * 20000 + "<p>z" * 5000):
+        html_cut.main_text(page)
+    assert time.time() - start < 10
+
+
 def test_pages_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", PAGE, "x"), (None, "u", "", "y")], "page_id long, url string, html string, text string")
     rows = html_cut.extract_main_text(pages).collect()

@@ -6,7 +6,7 @@ import html
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +27,8 @@ SELF_CLOSED = frozenset(("svg", "math"))
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: Names that say what is beside an element, not what it is: has-sidebar, no-comments.
 STATE = re.compile(r"(?<!\S)(?:has|no|with|without)[-_]\S*")
+#: Names that say what an article is about. They count for nothing beside a name of content, or on an article.
+ABOUT = re.compile(r"(?<!\S)(?:category|cat|tag|type|format|status|topic)[-_]\S*", re.I)
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 BLOCK_TAGS = frozenset(
@@ -57,6 +59,8 @@ BAD_NAMES = frozenset(
     "topbar widget widgets".split()
 )
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
+#: An article may be a reader's comment wherever one of these stands in a name; other bad names must stand first.
+COMMENT_NAMES = frozenset("comment comments reply replies".split())
 BAD_NAME, GOOD_NAME, HIDDEN = -12.0, 3.0, -30.0
 #: Smoothness: between neighbours in page order, and between an element and what stands in it. Across the border of an
 #: element with evidence of its own the tie is weak.
@@ -80,8 +84,16 @@ def _evidence(tag: str, attributes: str) -> float:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in NAME_PARTS.findall(STATE.sub(" ", value))}
-            bad |= bool(words & BAD_NAMES)
+            value = STATE.sub(" ", value)
+            about = ABOUT.sub(" ", value)
+            if tag in ("article", "main") or GOOD_NAMES & {w.lower() for w in NAME_PARTS.findall(about)}:
+                value = about
+            words = {w.lower() for w in NAME_PARTS.findall(value)}
+            if tag in ("article", "main"):
+                first = {w[0].lower() for w in map(NAME_PARTS.findall, value.split()) if w}
+                bad |= bool(first & BAD_NAMES or words & COMMENT_NAMES)
+            else:
+                bad |= bool(words & BAD_NAMES)
             good |= bool(words & GOOD_NAMES)
             if "header" in words and not words & GOOD_NAMES:
                 bad = True
@@ -100,8 +112,18 @@ def page_blocks(page: str) -> list[tuple[str, Element, float]]:
     """(text, element, share of characters in links) of each run of text between block tags, in page order."""
     root = Element("", None, "")
     stack, blocks, text = [root], [], []
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a tag are; a look at it costs no walk
     link = plain = 0
 
+    def top(tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def leave(depth: int) -> None:
+        for element in stack[depth:]:
+            places[element.tag].pop()
+        del stack[depth:]
+
     def close() -> None:
         nonlocal link, plain
         words = " ".join(html.unescape("".join(text)).split()) if text else ""
@@ -115,7 +137,7 @@ def page_blocks(page: str) -> list[tuple[str, Element, float]]:
         nonlocal link, plain
         if piece:
             text.append(piece)
-            if any(e.tag == "a" for e in stack):
+            if places.get("a"):
                 link += len(piece.strip())
             else:
                 plain += len(piece.strip())
@@ -138,21 +160,16 @@ def page_blocks(page: str) -> list[tuple[str, Element, float]]:
         if tag in BLOCK_TAGS:
             close()
         if found[2]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if tag not in HOLDERS and stack[depth].tag in HOLDERS:
-                    break
+            depth = top((tag,))
+            if depth and (tag in HOLDERS or top(HOLDERS) < depth):
+                leave(depth)
             continue
         ends = IMPLIED_ENDS.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1):
-            if not ends or stack[depth].tag in HOLDERS and stack[depth].tag not in ends:
-                break
-            if stack[depth].tag in ends:
-                del stack[depth:]
-                break
+        depth = top(ends)
+        if depth and top(HOLDERS.difference(ends)) < depth:
+            leave(depth)
         if tag not in VOID_TAGS and not found[4].endswith("/>"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(Element(tag, stack[-1], found[4][:-1].strip()))
     add(page[done:])
     close()

@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -276,6 +277,22 @@ def test_bad_nesting_takes_no_walks():
     assert time.time() - start < 10
 
 
+def test_shards_do_not_hang_on_the_partitions(spark):
+    docs = spark.range(1000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("8", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            given = docs.repartition(int(partitions))
+            out = shards.shuffle_into_shards(given, [F.col("doc_id")], shards.text_size(F.col("text")), bucket_bytes=200)
+            seen.append(sorted((r.doc.doc_id, r.shard, r.slot) for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(seen[0]) == 1000
+    assert sorted(g for _d, shard, slot in seen[0] for g in [slot * 8 + shard]) == list(range(1000))
+
+
 def test_pages_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", PAGE, "x"), (None, "u", "", "y")], "page_id long, url string, html string, text string")
     rows = html_cut.extract_main_text(pages).collect()

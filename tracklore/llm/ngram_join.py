@@ -398,6 +398,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sent = spark.sparkContext.broadcast((heavy, bits))
     every = store(
         zones.mapInArrow(_postings_of_zones(sent, percent), POSTINGS_DDL).unionAll(posted).dropDuplicates(["token", "node"]))
+    # Nothing that is still to run reads the broadcasts; what was made with them is stored.
+    order.destroy()
+    sent.destroy()
     discard(shared, beyond, posted)
     sizes = store(every.groupBy("token").agg(F.count("*").alias("_m")).where("_m > 1"))
     met = every.join(sizes.select("token"), "token", "left_semi")

@@ -385,6 +385,25 @@ def test_connected(spark):
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30}
 
 
+def test_connected_over_many_tasks(spark):
+    draw = np.random.default_rng(2)
+    edges = [(int(i), int(j)) for i, j in draw.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in draw.permutation(200).tolist()]
+    label = {i: i for edge in edges if edge[0] != edge[1] for i in edge}
+    for _again in range(len(label)):
+        for i, j in edges:
+            if i != j:
+                label[i] = label[j] = min(label[i], label[j])
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        rows = components.connected(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+    assert sorted((r.node, r.label) for r in rows) == sorted(label.items())
+
+
 # 9
 
 

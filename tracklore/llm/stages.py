@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklore import session
 
-#: Files of a stored table per core, at most; shuffles may have far more partitions than a small table needs files.
+#: Files of a stored table per core, if its input has fewer; shuffles may have far more partitions than a small table
+#: needs files.
 FILES_PER_CORE = 4
 
 
 def store(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder; see `cut_lineage`."""
-    return session.cut_lineage(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+    """The rows as a table in the shared folder, in as many files at most as its input has; see `cut_lineage`."""
+    least = FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return session.cut_lineage(df.coalesce(max(least, len(df.inputFiles()))))
 
 
 def discard(*tables: DataFrame) -> None:

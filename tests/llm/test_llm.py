@@ -79,6 +79,24 @@ def test_factorization_machine_learns_pairs():
     assert ((model.margins(rows, terms, len(sets))[0] > 0) == (labels == 1)).all()
 
 
+def test_toxicity_learns_pairs_of_harmless_words(spark):
+    # Toxic if exactly one of two words is there: neither word alone tells anything.
+    draw = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(3000):
+        words = draw.choice(WORDS, 20).tolist()
+        here = draw.random(2) < 0.5
+        for word, there in zip(("alpha", "beta"), here):
+            if there:
+                words.insert(int(draw.integers(len(words))), word)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(here[0] != here[1])))
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(table, toxicity.fit_toxicity(table, marks)).join(
+        marks, F.col("doc.doc_id") == marks["doc_id"]).where(toxicity.held_out(marks["doc_id"])).select("score", "toxic").collect()
+    assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in scored]) > 0.9
+
+
 def test_toxicity_odd_rows(spark, docs):
     for label in ([(1, 0)], []):
         labels = spark.createDataFrame(label, "doc_id long, toxic int")

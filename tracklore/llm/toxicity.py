@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.llm import arrow_text as at
+from tracklore.llm.stages import discard, store
 
 #: Hash buckets for terms; lengths in bytes of the word beginnings that are terms beside the whole words.
 BUCKET_BITS, PREFIXES = 20, (3, 4, 5, 6)
@@ -17,6 +18,11 @@ BUCKET_BITS, PREFIXES = 20, (3, 4, 5, 6)
 MOST_DOCS, MOST_TERMS, FACTORS = 20_000, 2_048, 4
 LEAST_DOCS, LEAST_Z, CUT = 4, 5.0, 0.7
 EPOCHS, RATE, DECAY = 60, 0.1, 1e-4
+#: Pairs of words: how far apart among the words that enough documents have, bits of the table that finds where a pair
+#: stands out, standard errors that it has to, and pairs whose words are kept.
+REACH, PAIR_BITS, LEAST_PAIR_Z, MOST_PAIRS = 12, 20, 7.0, 256
+#: Documents with the overall rate that smooth the rate of a word; table places in a page.
+PRIOR, PAGE = 10.0, 1 << 12
 
 
 def held_out(id_: Column) -> Column:
@@ -60,6 +66,107 @@ def _lookup(kept: np.ndarray) -> np.ndarray:
     return table
 
 
+def _word_pairs(data: np.ndarray, offsets: np.ndarray, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, lesser bucket, greater bucket) of different words with a rate, near each other in a text."""
+    starts, ends, rows = at.split_words(data, offsets, at.ALPHANUMERIC)
+    words = (at.hash_slices(at.LOWER[data], starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    known = ~np.isnan(rates[words])
+    rows, words = rows[known].astype(np.int64), words[known]
+    found = [np.zeros(0, np.int64)]
+    for step in range(1, REACH + 1):
+        first = np.flatnonzero(rows[:-step] == rows[step:]) if len(rows) > step else np.zeros(0, np.int64)
+        a, b = words[first], words[first + step]
+        pair = (rows[first] << (2 * BUCKET_BITS)) | (np.minimum(a, b) << BUCKET_BITS) | np.maximum(a, b)
+        found.append(pair[a != b])
+    pairs, mask = np.unique(np.concatenate(found)), (1 << BUCKET_BITS) - 1
+    return pairs >> (2 * BUCKET_BITS), (pairs >> BUCKET_BITS) & mask, pairs & mask
+
+
+def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    key = (a.astype(np.uint64) << np.uint64(BUCKET_BITS)) | b.astype(np.uint64)
+    return (at.mix(key) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def _count_pairs(sent):
+    """Pages of a table of fixed size: documents with a pair, toxic ones, and how many its two words let expect at most, at least."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rates, size = sent.value, 1 << PAIR_BITS
+        seen = np.zeros((size, 4), np.float32)
+        for batch in batches:
+            toxic = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, _hi, data, offsets in at.blocks(batch.column(1)):
+                rows, a, b = _word_pairs(data, offsets, rates)
+                place, high, low = _place(a, b), np.maximum(rates[a], rates[b]), np.minimum(rates[a], rates[b])
+                for k, weight in enumerate((None, toxic[lo + rows], high, low)):
+                    seen[:, k] += np.bincount(place, weight, size)
+        pages = seen.reshape(-1, PAGE * 4)
+        used = np.flatnonzero(pages.any(axis=1))
+        for k in used:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pages[k].tobytes()], pa.binary())], ["page", "sums"])
+
+    return count
+
+
+def _excess(n, toxic, high, low):
+    """Standard errors by which the toxic documents are beyond what the likelier, or below what the less likely word explains."""
+    above = (toxic - high) / np.sqrt(high * np.maximum(1 - high / np.maximum(n, 1), 0) + 0.25)
+    below = (low - toxic) / np.sqrt(low * np.maximum(1 - low / np.maximum(n, 1), 0) + 0.25)
+    return np.maximum(above, below)
+
+
+def _places(table: pa.Table) -> pa.Table:
+    """Places of a page where pairs stand out."""
+    sums = sum(np.frombuffer(x, np.float32).reshape(PAGE, 4).astype(np.float64) for x in table["sums"].to_pylist())
+    z = _excess(*sums.T)
+    out = np.flatnonzero((sums[:, 0] >= LEAST_DOCS) & (z >= LEAST_PAIR_Z))
+    return pa.table({"place": pa.array(out + table["page"][0].as_py() * PAGE, pa.int64()), "z": pa.array(z[out], pa.float64())})
+
+
+def _pairs_at(sent):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rates, wanted = sent.value
+        for batch in batches:
+            toxic = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, _hi, data, offsets in at.blocks(batch.column(1)):
+                rows, a, b = _word_pairs(data, offsets, rates)
+                here = wanted[_place(a, b)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[here], pa.int64()), pa.array(b[here], pa.int64()), pa.array(toxic[lo + rows[here]], pa.int64())],
+                    ["a", "b", "toxic"])
+
+    return pairs
+
+
+def _paired_words(sample: DataFrame, counts: DataFrame, base: float) -> np.ndarray:
+    """Buckets of words that tell nothing alone but near each other.
+
+    A pair counts if its documents are toxic more often than those of either word, or less often, by `LEAST_PAIR_Z`
+    standard errors: first by a table of hashed pairs, whose size is fixed, then by itself.
+    """
+    context = sample.sparkSession.sparkContext
+    known = counts.where(F.col("n") >= LEAST_DOCS).select(
+        F.col("bucket").cast("int"), ((F.col("n_toxic") + PRIOR * base) / (F.col("n") + PRIOR)).cast("float").alias("rate")).toArrow()
+    rates = np.full(1 << BUCKET_BITS, np.nan, np.float32)
+    rates[known["bucket"].to_numpy()] = known["rate"].to_numpy()
+    sent = context.broadcast(rates)
+    table = sample.mapInArrow(_count_pairs(sent), "page long, sums binary")
+    places = table.groupBy("page").applyInArrow(_places, "place long, z double").orderBy(F.desc("z"), "place").limit(MOST_PAIRS)
+    wanted = np.zeros(1 << PAIR_BITS, bool)
+    wanted[[r[0] for r in places.select("place").collect()]] = True
+    sent.destroy()
+    if not wanted.any():
+        return np.zeros(0, np.int64)
+    sent = context.broadcast((rates, wanted))
+    exact = sample.mapInArrow(_pairs_at(sent), "a long, b long, toxic long").groupBy("a", "b").agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCS).toArrow()
+    sent.destroy()
+    a, b, n, toxic = (exact[c].to_numpy().astype(np.int64) for c in ("a", "b", "n", "toxic"))
+    z = _excess(n, toxic, n * np.maximum(rates[a], rates[b]), n * np.minimum(rates[a], rates[b]))
+    best = np.lexsort((b, a, -z))[: min(MOST_PAIRS, int((z >= LEAST_PAIR_Z).sum()))]
+    return np.unique(np.concatenate([a[best], b[best]]))
+
+
 def _known_terms(sent):
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _lookup(sent.value)
@@ -120,8 +227,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
     At most `most_docs` labelled documents, those with the smallest hashed ids, are used; conflicting labels of an id
     count as toxic. Terms stay if they are in at least `LEAST_DOCS` of these documents and more frequent among the toxic
-    than among the others by `LEAST_Z` standard errors, the `MOST_TERMS` clearest at most. Without documents of both
-    classes no term stays and every score is the share of toxic labels.
+    than among the others by `LEAST_Z` standard errors, the `MOST_TERMS` clearest at most; words of the `MOST_PAIRS`
+    clearest pairs that are toxic more or less often than either word stay as well, whatever they tell alone. Without
+    documents of both classes no term stays and every score is the share of toxic labels.
     """
     spark = docs.sparkSession
     rows = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & ~held_out(F.col(id_column)))
@@ -130,10 +238,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         .orderBy(F.xxhash64("_id"), "_id").limit(most_docs)
     )
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_id").select("toxic", "_text")
+    sample = store(texts.join(F.broadcast(chosen), "_id").select("toxic", "_text"))
     totals = chosen.agg(F.count("*"), F.sum("toxic")).first()
     n, positive = totals[0], totals[1] or 0
     if not positive or positive == n:
+        discard(sample)
         model = FactorizationMachine(0)
         model.bias = 50.0 if positive else -50.0
         return np.zeros(0, np.int64), model
@@ -143,10 +252,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     rate = F.col("n") / n
     z = (p - q) / F.sqrt(rate * (1 - rate) * (1 / positive + 1 / (n - positive)) + 1e-12)
     clearest = counts.where((F.col("n") >= LEAST_DOCS) & (z >= LEAST_Z)).orderBy(F.desc(z), "bucket").limit(MOST_TERMS)
-    kept = np.array(sorted(r[0] for r in clearest.select("bucket").collect()), np.int64)
-    known = sample.mapInArrow(_known_terms(spark.sparkContext.broadcast(kept)), "toxic int, terms array<int>")
+    alone = np.array([r[0] for r in clearest.select("bucket").collect()], np.int64)
+    kept = np.union1d(alone, _paired_words(sample, counts, positive / n))
+    sent = spark.sparkContext.broadcast(kept)
+    known = sample.mapInArrow(_known_terms(sent), "toxic int, terms array<int>")
     # Only the kept terms of the bounded sample reach the driver.
     fitted = known.toArrow().combine_chunks()
+    sent.destroy()
+    discard(sample)
     lists = fitted.column("terms").combine_chunks() if fitted.num_rows else pa.array([], pa.list_(pa.int32()))
     lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
     model = FactorizationMachine(len(kept))

@@ -20,9 +20,10 @@ LEAST_DOCS, LEAST_Z, CUT = 4, 5.0, 0.7
 EPOCHS, RATE, DECAY = 60, 0.1, 1e-4
 #: Pairs of words: how far apart among the words that enough documents have, bits of the table that finds where a pair
 #: stands out, standard errors that it has to, and pairs whose words are kept.
-REACH, PAIR_BITS, LEAST_PAIR_Z, MOST_PAIRS = 12, 20, 7.0, 256
-#: Documents with the overall rate that smooth the rate of a word; table places in a page.
-PRIOR, PAGE = 10.0, 1 << 12
+REACH, PAIR_BITS, LEAST_PAIR_Z, MOST_PAIRS = 8, 20, 7.0, 256
+#: Documents with the overall rate that smooth the rate of a word; table places in a page; bytes of text whose pairs are
+#: held at once.
+PRIOR, PAGE, PAIR_BYTES = 10.0, 1 << 12, 1 << 18
 
 
 def held_out(id_: Column) -> Column:
@@ -66,8 +67,12 @@ def _lookup(kept: np.ndarray) -> np.ndarray:
     return table
 
 
-def _word_pairs(data: np.ndarray, offsets: np.ndarray, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, lesser bucket, greater bucket) of different words with a rate, near each other in a text."""
+def _word_pairs(data: np.ndarray, offsets: np.ndarray, rates: np.ndarray,
+                wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, lesser bucket, greater bucket) of different words with a rate, near each other in a text.
+
+    With `wanted`, only the pairs whose place in the table it marks.
+    """
     starts, ends, rows = at.split_words(data, offsets, at.ALPHANUMERIC)
     words = (at.hash_slices(at.LOWER[data], starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     known = ~np.isnan(rates[words])
@@ -76,8 +81,9 @@ def _word_pairs(data: np.ndarray, offsets: np.ndarray, rates: np.ndarray) -> tup
     for step in range(1, REACH + 1):
         first = np.flatnonzero(rows[:-step] == rows[step:]) if len(rows) > step else np.zeros(0, np.int64)
         a, b = words[first], words[first + step]
-        pair = (rows[first] << (2 * BUCKET_BITS)) | (np.minimum(a, b) << BUCKET_BITS) | np.maximum(a, b)
-        found.append(pair[a != b])
+        less, more = np.minimum(a, b), np.maximum(a, b)
+        taken = a != b if wanted is None else (a != b) & wanted[_place(less, more)]
+        found.append(((rows[first] << (2 * BUCKET_BITS)) | (less << BUCKET_BITS) | more)[taken])
     pairs, mask = np.unique(np.concatenate(found)), (1 << BUCKET_BITS) - 1
     return pairs >> (2 * BUCKET_BITS), (pairs >> BUCKET_BITS) & mask, pairs & mask
 
@@ -91,15 +97,19 @@ def _count_pairs(sent):
     """Pages of a table of fixed size: documents with a pair, toxic ones, and how many its two words let expect at most, at least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rates, size = sent.value, 1 << PAIR_BITS
-        seen = np.zeros((size, 4), np.float32)
+        rates = sent.value
+        seen = np.zeros((1 << PAIR_BITS, 4), np.float32)
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _hi, data, offsets in at.blocks(batch.column(1)):
+            for lo, _hi, data, offsets in at.blocks(batch.column(1), PAIR_BYTES):
                 rows, a, b = _word_pairs(data, offsets, rates)
-                place, high, low = _place(a, b), np.maximum(rates[a], rates[b]), np.minimum(rates[a], rates[b])
-                for k, weight in enumerate((None, toxic[lo + rows], high, low)):
-                    seen[:, k] += np.bincount(place, weight, size)
+                order = np.argsort(place := _place(a, b))
+                rows, a, b, place = rows[order], a[order], b[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
+                of_two = np.stack([rates[a], rates[b]])
+                for k, weight in enumerate((np.ones(len(place)), toxic[lo + rows], of_two.max(axis=0), of_two.min(axis=0))):
+                    if len(first):
+                        seen[place[first], k] += np.add.reduceat(weight, first)
         pages = seen.reshape(-1, PAGE * 4)
         used = np.flatnonzero(pages.any(axis=1))
         for k in used:
@@ -128,12 +138,10 @@ def _pairs_at(sent):
         rates, wanted = sent.value
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _hi, data, offsets in at.blocks(batch.column(1)):
-                rows, a, b = _word_pairs(data, offsets, rates)
-                here = wanted[_place(a, b)]
+            for lo, _hi, data, offsets in at.blocks(batch.column(1), PAIR_BYTES):
+                rows, a, b = _word_pairs(data, offsets, rates, wanted)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[here], pa.int64()), pa.array(b[here], pa.int64()), pa.array(toxic[lo + rows[here]], pa.int64())],
-                    ["a", "b", "toxic"])
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(toxic[lo + rows], pa.int64())], ["a", "b", "toxic"])
 
     return pairs
 

@@ -46,39 +46,40 @@ def untagged_artists(artists: DataFrame, artist_tags: DataFrame, limit: int | No
 # --- lookups -----------------------------------------------------------------------------
 
 
-def grams(text: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    grams = F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
+def grams(text: Column, size: int | Column) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    grams = F.transform(starts, lambda at: F.substring(text, at, size))
     return F.when(F.length(text) >= size, grams).otherwise(F.array().cast("array<string>"))
 
 
 def contains_pairs(queries: DataFrame, corpus: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Pairs where `text` of the corpus contains `needle` of a query; both carry lower-case text and their ids.
 
-    A text that contains the needle contains all its three-letter pieces, so each query is looked up under its
-    rarest piece only. `scope` columns must be equal as well.
+    A text that contains the needle contains all pieces of the needle. Pieces have the largest power of two of letters
+    that fits the needle, so more than half of it, and each query is looked up under its rarest piece only. Texts are
+    indexed by pieces of the sizes that queries have. `scope` columns must be equal as well.
     """
     scope = scope or []
-    needle = F.col("needle")
-    sizes = range(1, GRAM + 1)
-    pieces = corpus.select(
-        *corpus.columns, F.explode(F.array_distinct(F.concat(*[grams(F.col("text"), n) for n in sizes]))).alias("gram")
-    )
-    wanted = queries.where(needle != "").withColumn(
-        "gram", F.explode(F.array_distinct(F.coalesce(*[
-            F.when(F.length(needle) >= n, grams(needle, n)) for n in reversed(sizes)
-        ])))
-    )
+    asked = queries.where(F.col("needle") != "")
+    size = F.pow(F.lit(2), F.floor(F.log2(F.length("needle").cast("double")))).cast("int")
+    sizes = asked.agg(F.collect_set(size)).scalar()
+    sized = corpus.withColumn("_size", F.explode(sizes))
+    pieces = sized.select(*corpus.columns, F.explode(F.array_distinct(F.transform(
+        grams(F.col("text"), F.col("_size")), lambda piece: F.xxhash64(piece)))).alias("gram"))
+    wanted = asked.withColumn("gram", F.explode(F.array_distinct(F.transform(
+        grams(F.col("needle"), size), lambda piece: F.xxhash64(piece)))))
     frequency = pieces.groupBy(*scope, "gram").agg(F.count("*").alias("_n"))
     query_columns = queries.columns
     rarest = (
-        wanted.join(frequency, [*scope, "gram"])
+        wanted.join(frequency.hint("merge"), [*scope, "gram"])
         .groupBy(*query_columns)
         .agg(F.min(F.struct("_n", "gram")).alias("_rare"))
         .select(*query_columns, F.col("_rare.gram").alias("gram"))
     )
     kept = [c for c in corpus.columns if c not in scope]
-    right = pieces.select(*scope, "gram", *kept)
+    # Exploded rows are not in Spark's estimate of a size; without the hint it would broadcast the index.
+    right = pieces.select(*scope, "gram", *kept).hint("merge")
     joined = salted_join(right, rarest, [*scope, "gram"], F.xxhash64("text"))
     return joined.where(F.col("text").contains(F.col("needle"))).drop("gram")
 

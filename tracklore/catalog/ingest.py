@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracklore.catalog import tables as t
 from tracklore.catalog.registry import query
 from tracklore.operators import ingest as i
-from tracklore.session import cut_lineage, scratch_path
+from tracklore.session import cut_lineage, scratch_path, shared_folder
 from tracklore.sources import history as h
 
 # --- streaming history rows derived from events -------------------------------------------
@@ -308,7 +308,9 @@ def _scrobble_file(spark, d, path):
     """One CSV file of all scrobbles in the order of their events; the columns are those of `_scrobbles`."""
     rows = _scrobbles(spark, d).select(F.col("uts").cast("string").alias("uts"), F.col("artist_name").alias("artist"),
                                        F.col("track_name").alias("track"), F.col("position.line").alias("source"))
-    rows.orderBy("source").coalesce(1).write.option("header", True).csv(path)
+    # Sorted in many tasks and stored, in order; the one task of the file only copies.
+    shared_folder(spark)
+    rows.orderBy("source").checkpoint().coalesce(1).write.option("header", True).csv(path)
 
 
 @query(

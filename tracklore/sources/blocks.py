@@ -9,6 +9,8 @@ from pyspark.sql import window as W
 from tracklore.session import cut_lineage
 
 BLOCK = ["source_file", "block"]
+#: Places of a block that one window holds; a reader that does not split a file gives all of it as one block.
+CHUNK_PLACES = 100_000
 
 
 def read_pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -24,15 +26,19 @@ def read_pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
 def with_running(rows: DataFrame, **values: Column) -> DataFrame:
     """Adds for each value its sum over all earlier rows of the file, this one left out.
 
-    Values are added up per block first, those sums over the blocks of a file, one row each, which are stored; within a
-    block a window does the rest. Windows of several calls share one shuffle by block and one sort.
+    Values are added up per chunk of a block first, those sums over the chunks of a file, one row each, which are stored;
+    within a chunk a window does the rest. Windows of several calls share one shuffle by chunk and one sort. Places are
+    whole numbers, and a chunk spans `CHUNK_PLACES` of them, so a window stays small where a whole file is one block.
     """
-    sums = rows.groupBy(*BLOCK).agg(*(F.sum(value).alias(f"_{name}") for name, value in values.items()))
-    earlier = W.Window.partitionBy("source_file").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
-    before = cut_lineage(sums.select(*BLOCK, *(F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in values)))
-    here = W.Window.partitionBy(*BLOCK).orderBy("place").rowsBetween(W.Window.unboundedPreceding, -1)
-    ran = rows.select("*", *(F.coalesce(F.sum(value).over(here), F.lit(0)).alias(name) for name, value in values.items()))
-    return ran.join(before, BLOCK).withColumns({name: F.col(name) + F.col(f"_{name}") for name in values}).drop(*(f"_{name}" for name in values))
+    chunk = [*BLOCK, "_chunk"]
+    cut = rows.withColumn("_chunk", F.floor(F.col("place") / CHUNK_PLACES))
+    sums = cut.groupBy(*chunk).agg(*(F.sum(value).alias(f"_{name}") for name, value in values.items()))
+    earlier = W.Window.partitionBy("source_file").orderBy("block", "_chunk").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = cut_lineage(sums.select(*chunk, *(F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in values)))
+    here = W.Window.partitionBy(*chunk).orderBy("place").rowsBetween(W.Window.unboundedPreceding, -1)
+    ran = cut.select("*", *(F.coalesce(F.sum(value).over(here), F.lit(0)).alias(name) for name, value in values.items()))
+    added = ran.join(before, chunk).withColumns({name: F.col(name) + F.col(f"_{name}") for name in values})
+    return added.drop("_chunk", *(f"_{name}" for name in values))
 
 
 def with_number(rows: DataFrame, number: str) -> DataFrame:

@@ -147,6 +147,32 @@ def test_passages_in_long_chains_and_with_edited_ends(spark):
                    (5, 6, 80, 133, 80, 133, 52), (7, 8, 80, 133, 80, 133, 52)]
 
 
+def test_passages_whose_seeds_have_different_first_documents(spark):
+    def own(name, n):
+        return [f"{name}{k}" for k in range(n)]
+
+    def linked(rows, **options):
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        return {(r.other_id, r.doc_id) for r in chains.shared_passages(docs, **options).collect()}
+
+    shared = own("s", 60)
+    rows = [(1, own("a", 40) + shared[:30]), (2, shared[30:] + own("b", 40)), (3, own("c", 9) + shared + own("d", 30)),
+            (4, own("e", 50) + shared + own("f", 9)), (5, own("g", 7) + shared + own("h", 5)), (6, own("e", 50) + shared + own("f", 9))]
+    assert linked(rows) == linked(rows, crowd=None) == {(3, 4), (3, 5), (4, 5), (4, 6)}
+    # With all seeds crowded the whole passages still hang together, and nothing else does.
+    crowded = linked(rows, crowd=1)
+    assert {(4, 6)} <= crowded <= {(3, 4), (3, 5), (4, 5), (4, 6)} and len(crowded) >= 3
+
+
+def test_seeds_of_a_pair_count_whether_crowded_or_not(spark):
+    words = [f"s{k}" for k in range(70)]
+    rows = [(i, [f"d{i}v{k}" for k in range(30)] + words[:20]) for i in range(1, 9)] + [
+        (i, [f"d{i}v{k}" for k in range(30)] + words) for i in (20, 21)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = [(r.other_id, r.doc_id, r.start, r.stop, r.equal_words) for r in chains.shared_passages(docs, crowd=4).collect()]
+    assert got == [(20, 21, 30, 100, 70)]
+
+
 def test_longest_runs_equal_brute_force():
     draw = np.random.default_rng(11)
     for _round in range(60):

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -80,6 +81,30 @@ def test_track_without_album_gains_one(spark):
     assert again[1].count() == 0
 
 
+def recordings_with_late_album(spark):
+    """Two recordings, as dump lines: eight singles, then a studio album; a recording without releases."""
+    group = {"id": "rg", "title": "t", "primary-type": "Single"}
+    releases = [{"id": f"r{i}", "title": "Single", "date": "1997", "release-group": group} for i in range(8)]
+    releases.append({"id": "r8", "title": "OK Computer", "date": "1998", "release-group": {**group, "id": "rg8", "primary-type": "Album"}})
+    credit = [{"name": "Radiohead", "artist": {"id": "m", "name": "Radiohead"}}]
+    lines = [json.dumps({"id": "c1", "title": "Airbag", "artist-credit": credit, "releases": releases}),
+             json.dumps({"id": "c0", "title": "Airbag", "artist-credit": credit, "releases": []})]
+    rows = spark.createDataFrame(list(enumerate(lines)), "position long, value string")
+    return x.parse_dump(rows, "recording")
+
+
+def test_missing_album_may_be_a_late_release(spark):
+    recordings = recordings_with_late_album(spark)
+    assert {r["mbid"]: r["releases"] and [p["release_mbid"] for p in r["releases"]] for r in recordings.collect()} == {
+        "c1": [f"r{i}" for i in range(9)], "c0": None}
+    tracks = spark.createDataFrame([(7, "Airbag", 1, None)], "track_id bigint, title string, artist_id bigint, album_id bigint")
+    albums = spark.createDataFrame([], "album_id bigint, title string, slug string, artist_id bigint, mbid string, release_date string")
+    ours = artists(spark, (1, "Radiohead", "m", "GB", "Group"))
+    updates, created = e.find_missing_albums(tracks, ours, albums, recordings)
+    assert [(r["track_id"], r["recording_mbid"]) for r in updates.collect()] == [(7, "c1")]
+    assert [(r["title"], r["mbid"], r["release_date"]) for r in created.collect()] == [("OK Computer", "rg8", "1998")]
+
+
 def test_cache_round_trip(spark):
     keys = "entity_type string, entity_id string, params_hash string"
     cache = spark.createDataFrame([], f"{keys}, response_json string, fetched_at timestamp, expires_at timestamp")

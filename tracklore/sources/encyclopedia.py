@@ -66,13 +66,10 @@ def release_group_table(dump: DataFrame) -> DataFrame:
     )
 
 
-MAX_RELEASES = 5
-
-
 def recording_table(dump: DataFrame) -> DataFrame:
-    """Keeps the first releases only, flattened with their release group."""
+    """Keeps all releases, flattened with their release group."""
     releases = F.transform(
-        F.slice("releases", 1, MAX_RELEASES),
+        "releases",
         lambda r: F.struct(
             r["id"].alias("release_mbid"),
             r["title"].alias("release_title"),

@@ -105,6 +105,12 @@ def test_missing_album_may_be_a_late_release(spark):
     assert [(r["title"], r["mbid"], r["release_date"]) for r in created.collect()] == [("OK Computer", "rg8", "1998")]
 
 
+def test_recording_match_takes_its_release_from_all(spark):
+    tracks = spark.createDataFrame([("airbag", "Radiohead")], "title string, artist_name string")
+    found = e.score_recording_matches(tracks, recordings_with_late_album(spark)).collect()
+    assert [(r["recording_mbid"], r["confidence"], r["release"]["release_mbid"]) for r in found] == [("c1", 1.0, "r8")]
+
+
 def test_cache_round_trip(spark):
     keys = "entity_type string, entity_id string, params_hash string"
     cache = spark.createDataFrame([], f"{keys}, response_json string, fetched_at timestamp, expires_at timestamp")

@@ -296,7 +296,7 @@ def _(spark, d):
     path = scratch_path(spark, "artists")
     sinks.write_partitioned_json(r.artist_detail_nested(detail, monthly), path, "artist_id")
     written = "artist_id bigint, name string, plays bigint, monthly_timeline array<struct<year_month: string>>"
-    back = spark.read.schema(written).json(path)
+    back = sinks.read_partitioned_json(spark, path, "artist_id", written)
     return back.select("artist_id", "name", "plays", F.size("monthly_timeline").cast("bigint").alias("months"))
 
 
